@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickstrata.llm import exact_dedup, token_counts
+from tickstrata.llm import exact_dedup, mixing, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,15 +17,37 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(_documents(spark, sf_dir))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op6_exact_dedup)}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_sharding, op6_exact_dedup, op8_mixing)}
 
 ORACLES = {
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)""",
+    "op8_mixing": r"""
+        WITH t AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+        s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size FROM t GROUP BY k),
+        w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY k) - 1) % 3 + 1 AS INT)] AS weight FROM s),
+        l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER f, 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER f, 0) AS DOUBLE) AS lev
+              FROM w WINDOW f AS (ORDER BY 3 * source_size / CAST(weight AS DOUBLE), k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        g AS (SELECT k, source_size, least(CAST(3 * source_size AS DOUBLE), max(lev) OVER () * weight) AS target FROM l),
+        r AS (SELECT t.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+                CAST(CAST('0x' || substr(md5(k), 1, 5) AS BIGINT) AS DOUBLE) / 1048576 AS u,
+                row_number() OVER (PARTITION BY k ORDER BY length(bin(size)) * 8 + ((size * 8) >> (length(bin(size)) - 1)) % 8, md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) AS rank FROM t JOIN g USING (k))
+        SELECT doc_id, size, source_size, target, CAST(floor(rank * rate + u) - floor((rank - 1) * rate + u) AS BIGINT) * size AS taken FROM r""",
 }
