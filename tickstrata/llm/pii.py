@@ -41,15 +41,25 @@ TOKEN = r"(?<!\S)(?=[^\s0-9@]{0,63}[0-9@])\S{4,64}(?!\S)"
 SHAPES = {
     "email": r"^[^@\s]+@[^@\s]+$",
     "ip": r"^[0-9]{1,3}([.:][0-9]{1,3}){3}(:[0-9]+)?$|^([0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}$",
-    "card": r"^[0-9-]{12,23}$",
+    "card": r"^[0-9](-?[0-9]){11,18}$",
     "phone": r"^\(?[0-9][0-9().-]{7,17}[0-9]$",
 }
 HIT = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+BLOCK = 64
 SIDE = 48  # characters beside a hit that are searched for its neighbouring words
 
 
-def _hits(gaps: Column, found: Column) -> Column:
-    """Positions of matches: split() gives the texts between them, in the same order."""
+def _zipped(gaps: Column, found: Column) -> Column:
+    """Matches with the texts before and after them: split() gives those in the same order."""
+    return F.zip_with(
+        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), F.slice(gaps, 2, F.size(found)).alias("next")),
+        found,
+        lambda g, h: F.struct(g["gap"].alias("gap"), g["next"].alias("next"), h.alias("hit")),
+    )
+
+
+def _hits(zipped: Column) -> Column:
+    """Positions of the matches."""
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
@@ -59,13 +69,22 @@ def _hits(gaps: Column, found: Column) -> Column:
         )
         return F.struct(end.alias("at"), F.array_append(acc["out"], hit).alias("out"))
 
-    zipped = F.zip_with(
-        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), F.slice(gaps, 2, F.size(found)).alias("next")),
-        found,
-        lambda g, h: F.struct(g["gap"].alias("gap"), g["next"].alias("next"), h.alias("hit")),
+    def width(acc, x):
+        return acc + F.length(x["gap"]) + F.length(x["hit"])
+
+    # appending copies the array, so a long list is summed up in blocks, each from its own start
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / BLOCK).cast("int")), lambda k: F.slice(zipped, k * BLOCK + 1, F.lit(BLOCK)))
+    blocks = F.transform(blocks, lambda b: F.struct(b.alias("hits"), F.aggregate(b, F.lit(0), width).alias("width")))
+    none = F.array().cast("array<int>")
+    begins = F.aggregate(
+        blocks,
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, b: F.struct((acc["at"] + b["width"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+    )["out"]
+    placed = F.zip_with(
+        blocks, begins, lambda b, at: F.aggregate(b["hits"], F.struct(at.alias("at"), F.array().cast(HIT).alias("out")), step)["out"]
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(HIT).alias("out"))
-    return F.when(F.size(found) == 0, F.array().cast(HIT)).otherwise(F.aggregate(zipped, start, step)["out"])
+    return F.when(F.size(zipped) == 0, F.array().cast(HIT)).otherwise(F.flatten(placed))
 
 
 def _digits(value: Column) -> Column:
@@ -115,7 +134,8 @@ def scan(docs: DataFrame) -> DataFrame:
         )
         gaps = F.when(F.size(f"{kind}_found") > 0, F.split("text", pattern, -1)).otherwise(F.array().cast("array<string>"))
         df = df.select("*", gaps.alias(f"{kind}_gaps"))
-    hits = {k: _hits(F.col(f"{k}_gaps"), F.col(f"{k}_found")) for k in (*KINDS, "token")}
+        df = df.select("*", _zipped(F.col(f"{kind}_gaps"), F.col(f"{kind}_found")).alias(f"{kind}_all")).drop(f"{kind}_gaps", f"{kind}_found")
+    hits = {k: _hits(F.col(f"{k}_all")) for k in (*KINDS, "token")}
     kept = {k: F.filter(hits[k], _checker(k)) for k in KINDS}
     df = df.select("doc_id", "row", hits["token"].alias("token"), *(kept[k].alias(k) for k in KINDS))
     named = [F.transform(F.col(k), _namer(i)) for i, k in enumerate(KINDS)]
