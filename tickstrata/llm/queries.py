@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickstrata.llm import exact_dedup, mixing, pii, sharding, token_counts
+from tickstrata.llm import exact_dedup, fingerprints, line_dedup, mixing, pii, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(_documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(_documents(spark, sf_dir))
 
@@ -36,7 +40,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_sharding, op6_exact_dedup, op8_mixing)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.clean(_documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_sharding, op5_fingerprints, op6_exact_dedup, op8_mixing, op9_line_dedup)}
 
 ORACLES = {
     "op6_exact_dedup": """
@@ -54,4 +63,13 @@ ORACLES = {
                 CAST(CAST('0x' || substr(md5(k), 1, 5) AS BIGINT) AS DOUBLE) / 1048576 AS u,
                 row_number() OVER (PARTITION BY k ORDER BY length(bin(size)) * 8 + ((size * 8) >> (length(bin(size)) - 1)) % 8, md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) AS rank FROM t JOIN g USING (k))
         SELECT doc_id, size, source_size, target, CAST(floor(rank * rate + u) - floor((rank - 1) * rate + u) AS BIGINT) * size AS taken FROM r""",
+    "op9_line_dedup": """
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+        h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 4) AS BIGINT) AS d, len(string_split(line, ' ')) AS words FROM l),
+        e AS (SELECT *, words >= 50 OR coalesce(lead(words) OVER w, 50) >= 50 OR (coalesce(lag(d) OVER w, 0) * 31 + d) % 101 % 2 = 0 AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        n AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
+        c AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS lines, sum(words) AS words FROM n GROUP BY doc_id, k),
+        r AS (SELECT *, words >= 10 AND (lines >= 2 OR words >= 50) AND row_number() OVER (PARTITION BY chunk, words >= 10 AND (lines >= 2 OR words >= 50) ORDER BY doc_id, k) > 1 AS gone FROM c)
+        SELECT doc_id, CAST(sum(lines) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN lines ELSE 0 END) AS BIGINT) AS n_removed,
+               sha256(coalesce(string_agg(CASE WHEN NOT gone THEN chunk END, chr(10) ORDER BY k), '')) AS text_sha256 FROM r GROUP BY doc_id""",
 }
