@@ -28,6 +28,11 @@ def _words(line: Column) -> Column:
     return F.size(F.split(line, " "))
 
 
+def _held(name: str) -> Column:
+    """The column, named twice: the optimizer inlines what is named once, and would make it anew for each element."""
+    return F.when(F.size(name) >= 0, F.col(name))
+
+
 def _chunked(df: DataFrame, text: str) -> DataFrame:
     """`df` with `chunks`: text, lines and words of each chunk of the column `text`."""
     df = df.select("*", F.split(text, "\n").alias("_lines"))
@@ -44,13 +49,14 @@ def _chunked(df: DataFrame, text: str) -> DataFrame:
     def chunk(end: Column, k: Column) -> Column:
         first = F.coalesce(F.get("_ends", k - 1), F.lit(-1)) + 2
         n = end + 2 - first
-        words = F.aggregate(F.slice("_words", first, n), F.lit(0), lambda a, x: a + x)
-        return F.struct(F.array_join(F.slice("_lines", first, n), "\n").alias("text"), n.alias("lines"), words.alias("words"))
+        words = F.aggregate(F.slice(_held("_words"), first, n), F.lit(0), lambda a, x: a + x)
+        return F.struct(F.array_join(F.slice(_held("_lines"), first, n), "\n").alias("text"), n.alias("lines"), words.alias("words"))
 
     chunks = F.when(F.col(text).isNull(), F.array().cast(CHUNKS)).otherwise(F.transform("_ends", chunk))
     return df.select("*", chunks.alias("chunks")).drop("_lines", "_hash", "_words", "_ends")
 
 
+# posexplode_outer, as the filter that Spark infers below a plain one would make the chunks anew, inlined
 def _may_go(c: str = "c") -> Column:
     return (F.col(f"{c}.words") >= LEAST) & ((F.col(f"{c}.lines") >= 2) | (F.col(f"{c}.words") >= LONG))
 
@@ -58,13 +64,13 @@ def _may_go(c: str = "c") -> Column:
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, gone: the places (from 0) of the chunks of a document that go."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    places = _chunked(texts, "text").select("doc_id", "text_hash", F.posexplode("chunks").alias("k", "c")).where(_may_go())
+    places = _chunked(texts, "text").select("doc_id", "text_hash", F.posexplode_outer("chunks").alias("k", "c")).where(_may_go())
     narrow = places.select("doc_id", "text_hash", "k", F.unhex(F.md5("c.text")).alias("digest"))
     narrow = durable(narrow, "line-chunks")
     again = narrow.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     held = narrow.join(again, "digest").groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("ks"))
     own = texts.alias("t").join(held.alias("h"), [F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")), F.col("t.text_hash") == F.col("h.text_hash")])
-    own = _chunked(own.select("t.*", "ks"), "text").select("doc_id", "text_hash", F.posexplode("chunks").alias("k", "c"), "ks")
+    own = _chunked(own.select("t.*", "ks"), "text").select("doc_id", "text_hash", F.posexplode_outer("chunks").alias("k", "c"), "ks")
     place = F.struct("doc_id", "text_hash", "k")
     own = durable(own.where(F.array_contains("ks", F.col("k"))).select(place.alias("place"), F.col("c.text").alias("chunk")), "line-candidates")
     firsts = own.groupBy("chunk").agg(F.min("place").alias("first"))
