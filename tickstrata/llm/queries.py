@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickstrata.llm import exact_dedup, fingerprints, line_dedup, mixing, pii, sharding, token_counts
+from tickstrata.llm import exact_dedup, fingerprints, line_dedup, mixing, pii, quality, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(_documents(spark, sf_dir))
 
@@ -45,7 +50,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_sharding, op5_fingerprints, op6_exact_dedup, op8_mixing, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_sharding, op4_quality, op5_fingerprints, op6_exact_dedup, op8_mixing, op9_line_dedup)}
 
 ORACLES = {
     "op6_exact_dedup": """
