@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickstrata.llm import exact_dedup, fingerprints, line_dedup, mixing, pii, quality, sharding, token_counts
+from tickstrata.llm import exact_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, pii, quality, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(_documents(spark, sf_dir))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
@@ -50,7 +54,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_sharding, op4_quality, op5_fingerprints, op6_exact_dedup, op8_mixing, op9_line_dedup)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_sharding, op4_quality, op5_fingerprints, op6_exact_dedup, op7_packing, op8_mixing, op9_line_dedup, op10_ngram_join)}
 
 ORACLES = {
     "op6_exact_dedup": """
