@@ -1,0 +1,43 @@
+"""Every registered query against its SQL, on the smallest tables."""
+
+import glob
+import os
+import sys
+
+import duckdb
+import pytest
+
+from tickstrata.plans import catalog
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    con = duckdb.connect()
+    for p in glob.glob(f"{sf_dir}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    return con
+
+
+def rows(columns, found):
+    order = sorted(range(len(columns)), key=columns.__getitem__)
+    return sorted(tuple(repr(round(r[k], 6) if isinstance(r[k], float) else r[k]) for k in order) for r in found)
+
+
+@pytest.mark.parametrize("name", catalog.QUERIES)
+def test_query(spark, sf_dir, duck, name):
+    df = catalog.QUERIES[name](spark, sf_dir)
+    got = df.collect()
+    if name not in catalog.ORACLES:
+        assert got
+        return
+    want = duck.sql(catalog.ORACLES[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    assert rows(df.columns, got) == rows(want.columns, want.fetchall())
+
+
+def test_entry(spark):
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    import __spark_entry__
+
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert __spark_entry__.entry(spark).columns == ["did", "timestamp", "created_at", "value"]
