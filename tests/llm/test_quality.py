@@ -1,0 +1,74 @@
+import random
+
+import numpy as np
+
+from tickstrata.llm import quality as Q
+
+
+def corpus(rng, n, first=0):
+    """Documents of graded quality: toxic ones hold slurs or words of their stem, junk ones marks."""
+    docs, labels = [], []
+    for i in range(first, first + n):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(20, 200))]
+        toxic, junk = rng.random() < 0.2, rng.random() < 0.2
+        if toxic:
+            for _ in range(4):
+                words[rng.randrange(len(words))] = rng.choice(["zonk", "quizzle", "vexol"]) + rng.choice(["", "ing", "ers", "a"])
+        if junk:
+            words = [w + rng.choice(["$$$", "%%%", "&&&"]) for w in words]
+        docs.append((i, " ".join(words).capitalize()))
+        labels.append((i, int(not junk), int(toxic)))
+    return docs, labels
+
+
+def test_held_out_accuracy(spark):
+    rng = random.Random(11)
+    docs, labels = corpus(rng, 1200)
+    later, truth = corpus(rng, 400, first=5000)
+    model = Q.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert model.thresholds[0] < model.thresholds[1]
+    rows = {r.doc_id: r for r in Q.score(spark.createDataFrame(later, "doc_id long, text string"), model).collect()}
+    grade = {i: q + 1 - t for i, q, t in truth}
+    assert np.mean([rows[i].kept == (g == 2) for i, g in grade.items()]) > 0.95
+    mean = [np.mean([rows[i].expected_grade for i, g in grade.items() if g == k]) for k in range(3)]
+    assert mean[0] < mean[1] < mean[2]
+    assert all(0 <= r.expected_grade <= 2 and 0 <= r.p_top <= 1 for r in rows.values())
+
+
+def test_select_keeps_whole_rows_and_agrees_with_score(spark):
+    rng = random.Random(12)
+    docs, labels = corpus(rng, 300)
+    df = spark.createDataFrame([(d, t, 1.5, [d], d % 3 == 0) for d, t in docs] + [(None, None, None, None, None), (7, "", 0.0, [], True), (9, "long " * 50_000, 0.0, [], True)], "doc_id long, text string, expected_grade double, row array<long>, kept boolean")
+    model = Q.train(df, spark.createDataFrame(labels + [(1, 0, 1), (2, None, 0), (3, 7, 0)], "doc_id long, quality int, toxic int"))
+    score = {repr((r.doc_id, r.p_top >= 0.5)) for r in Q.score(df, model).collect()}
+    kept = Q.select(df, model)
+    assert kept.schema == df.schema
+    assert {repr((r.doc_id, True)) for r in kept.collect()} <= score
+    assert kept.count() == Q.score(df, model).where("kept").count()
+
+
+def test_the_fit_reads_a_bounded_sample(spark, monkeypatch):
+    rng = random.Random(13)
+    docs, labels = corpus(rng, 200)
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda rows, grades: seen.append((len(rows), len(grades))))
+    Q.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), most=50)
+    assert seen == [(50, 50)]
+
+
+def test_no_labels_and_no_rows(spark):
+    docs = spark.createDataFrame([(1, "x"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = Q.train(docs, none)
+    assert all(r.kept and r.expected_grade > 1.99 for r in Q.score(docs, model).collect())
+    assert Q.score(docs.limit(0), model).count() == 0 and Q.select(docs.limit(0), model).count() == 0
+
+
+def test_query_fits_the_test_tables(spark):
+    from tickstrata.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    rows = queries.op4_quality(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    clean = [r.kept for r in rows if r.quality == 1 and r.toxic == 0]
+    bad = [r.kept for r in rows if r.quality == 0 or r.toxic == 1]
+    assert np.mean(clean) > 0.97 and np.mean(bad) < 0.1
