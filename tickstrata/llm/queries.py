@@ -85,4 +85,13 @@ ORACLES = {
         r AS (SELECT *, words >= 10 AND (lines >= 2 OR words >= 50) AND row_number() OVER (PARTITION BY chunk, words >= 10 AND (lines >= 2 OR words >= 50) ORDER BY doc_id, k) > 1 AS gone FROM c)
         SELECT doc_id, CAST(sum(lines) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN lines ELSE 0 END) AS BIGINT) AS n_removed,
                sha256(coalesce(string_agg(CASE WHEN NOT gone THEN chunk END, chr(10) ORDER BY k), '')) AS text_sha256 FROM r GROUP BY doc_id""",
+    "op10_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM i),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+        r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d)
+        SELECT d AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = d GROUP BY d""",
 }
