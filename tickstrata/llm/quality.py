@@ -25,9 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickstrata.llm.batches import slices
+
 BITS = 18
 GRADES = 3
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¿¡«»"
@@ -82,12 +85,15 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, least: int = 5, lasso: float
     weights = np.zeros(1 << BITS)
     if not len(rows):
         return Model(weights, np.full(GRADES - 1, -40.0))
-    sizes = np.array([len(r) for r in rows])
-    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-    known = np.bincount(flat, minlength=1 << BITS) >= least
-    doc, flat = doc[known[flat]], flat[known[flat]]
-    used, flat = np.unique(flat, return_inverse=True)
-    share = np.bincount(flat, minlength=len(used)) / len(rows)
+    met = np.zeros(1 << BITS, np.int32)
+    for r in rows:
+        met[r] += 1
+    used = np.flatnonzero(met >= least)
+    number = np.full(1 << BITS, -1, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    rows = [(k := number[r])[k >= 0] for r in rows]
+    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    share = met[used] / len(rows)
     first = [np.clip((grades >= g).mean(), 1e-3, 1 - 1e-3) for g in range(1, GRADES)]
     low = -np.log(first[0] / (1 - first[0]))
     gap = np.log(max(-np.log(first[1] / (1 - first[1])) - low, 1e-2))
@@ -117,12 +123,12 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, least: int = 5, lasso: float
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [features(t or "") for t in b.column(0).to_pylist()]
+    for b in slices(batches):
+        rows = [features(t or "").astype(np.int32) for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), b.column(1)], names=["features", "grade"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = 5000) -> Model:
     """Fit on at most `most` rows of `docs` (doc_id, text, ...) that `labels` (doc_id, quality, toxic) grades."""
     grade = (F.col("quality") + 1 - F.col("toxic")).cast("int")
     graded = labels.where("quality IN (0, 1) AND toxic IN (0, 1)").groupBy("doc_id").agg(F.min(grade).alias("grade"))
@@ -130,10 +136,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade")  # at most `most` rows of 12 bytes
     table = rows.mapInArrow(_features_of, "features array<int>, grade int").orderBy("grade").toArrow()
     column = table.column("features").combine_chunks()
-    return fit([np.asarray(x.values, np.int64) for x in column], np.asarray(table.column("grade").to_numpy(), np.int64))
+    return fit([np.asarray(x.values) for x in column], np.asarray(table.column("grade").to_numpy(), np.int64))
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, inside: bool):
+    """Puts the expected grade and the top grade's probability beside the first column; the text is the second one, or a field of the first."""
     # only the weights in use go to the executors
     used = np.flatnonzero(model.weights)
     values, thresholds = model.weights[used], model.thresholds
@@ -142,21 +149,22 @@ def _scorer(model: Model):
         weights = np.zeros(1 << BITS)
         weights[used] = values
         own = Model(weights, thresholds)
-        for b in batches:
-            tails = own.tails([t or "" for t in b.column(b.num_columns - 1).to_pylist()]) if b.num_rows else np.zeros((0, 2))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(tails.sum(1)), pa.array(tails[:, 1])], names=[*b.schema.names[:-1], "expected_grade", "p_top"])
+        for b in slices(batches):
+            texts = pc.struct_field(b.column(0), "text") if inside else b.column(1)
+            tails = own.tails([t or "" for t in texts.to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tails.sum(1)), pa.array(tails[:, 1])], names=[b.schema.names[0], "expected_grade", "p_top"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, keep: float = 0.5) -> DataFrame:
     """doc_id, expected_grade, p_top (probability of the highest grade), kept for each row of `docs`."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scorer(model), "doc_id long, expected_grade double, p_top double")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scorer(model, False), "doc_id long, expected_grade double, p_top double")
     return rows.withColumn("kept", F.col("p_top") >= keep)
 
 
 def select(docs: DataFrame, model: Model, keep: float = 0.5) -> DataFrame:
     """The rows of `docs` that the classifier keeps."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("scored"))
+    rows = docs.select(F.struct("*").alias("row"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, expected_grade double, p_top double"
-    return rows.mapInArrow(_scorer(model), schema).where(F.col("p_top") >= keep).select("row.*")
+    return rows.mapInArrow(_scorer(model, True), schema).where(F.col("p_top") >= keep).select("row.*")
