@@ -34,7 +34,7 @@ def documents(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 20, 50, 300])), rng.choice(["a", "a", "a", "b", "é", None, "B"]), i) for i in range(3000)]
     rows += [(9000 + i, "same text here", "hot", 0) for i in range(2000)] + [(7, None, "a", 0), (7, None, "a", 0), (None, "x y", "only", 1)]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, rank long")
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, text_hash long")
 
 
 def test_words_come_near_the_targets_and_reruns_agree(spark):

@@ -68,8 +68,12 @@ def test_patterns_add_what_the_fixed_ones_miss(spark):
     assert rows[42]["spans"] == "" and all(rows[i]["n_added"] == 0 for i in range(40))
 
 
-def test_empty_table(spark):
-    assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+def test_null_ids_repeated_rows_and_no_rows(spark):
+    schema = "doc_id long, text string, base array<int>, email string"
+    rows = [(None, "x@y.z", [1], "e"), (None, "x@y.z", None, None), (None, None, [], ""), (1, "10.0.0.1", None, "e"), (1, "10.0.0.1", None, "e")]
+    got = sorted((repr(r.doc_id), r.spans) for r in pii.find(spark.createDataFrame(rows, schema)).collect())
+    assert got == [("1", "ip:0:8")] * 2 + [("None", "")] + [("None", "email:0:5")] * 2
+    assert pii.find(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_query(spark, sf_dir):

@@ -95,8 +95,8 @@ def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     """`docs` with each row as often as the mix takes it."""
     key = ["doc_id", "text_hash", "source_key"]
     copies = sample(docs, weights, most).groupBy(*key).agg(F.sum("copies").alias("copies_taken")).where("copies_taken > 0")
-    rows = docs.select("*", F.xxhash64("text").alias("text_hash"), source_key(F.col("source")).alias("source_key"))
-    rows = rows.groupBy(*key).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), source_key(F.col("source")).alias("source_key"))
+    rows = rows.groupBy(*key).agg(F.first("row").alias("row"))
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key]
     joined = rows.alias("r").join(copies.alias("c"), same)
     return joined.select("row", F.explode(F.expr("sequence(1L, copies_taken)"))).select("row.*")
