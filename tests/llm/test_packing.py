@@ -11,8 +11,11 @@ from tickstrata.llm import packing as K
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+OWN = Tokenizer.from_file(PATH)
+
+
 def ids_of(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [0]
+    return OWN.encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def check(got, rows):
