@@ -9,11 +9,11 @@ about k walks, not k * k comparisons. The tries are exact: every link between tw
 
 Which sets meet in a trie: the global order is cut into as many segments as two linked sets of a
 size can have differences, plus a margin. Linked sets then agree on some whole segment. Sets that
-share a segment's digest are joined to the smallest of them, the connected groups of this candidate
+share a segment's digest are joined to the smallest of them (but for common digests that a set can do without), the connected groups of this candidate
 graph are found with distributed star contraction, and each group goes to a trie. Segments that are empty
 on both sides need no digest: the margin leaves more segments with n-grams than differences; a set
 for which that does not hold emits digests for its empty segments, too. A group of more n-grams than fit one
-task is cut into blocks by size, and each pair of blocks whose sizes can link gets a trie of its own.
+task is cut into blocks by hash, and each pair of blocks gets a trie of its own.
 
 Hashes have 64 bits; n-grams and sets are taken as equal if their hashes are.
 
@@ -33,10 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickstrata.llm.batches import slices
 from tickstrata.session import durable
 
 U = np.uint64
 BLOCK = 1 << 20  # n-grams in a block of a large group
+FEW = 4  # nodes that may share a digest before it counts as common
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,19 +95,20 @@ class Bands:
         band = bisect_right(self.low, n) - 1
         for k in (band, band - 1):
             if k >= 0 and (most := (self.low[k + 1] - 1) * (self.den - self.num) // self.num):
-                yield k, most, most + most // 8 + 2
+                yield k, most, most + most // 4 + 2
 
-    def signatures(self, x: np.ndarray) -> np.ndarray:
-        out, mixed, high = [np.zeros(0, U)], _mix(x + U(0xABCDEF)), x >> U(32)
+    def signatures(self, x: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(band, margin, digests) for each scheme: a linked set has at least `margin` of the digests, too."""
+        mixed, high = _mix(x + U(0xABCDEF)), x >> U(32)
         for k, most, segments in self.schemes(len(x)):
             at = (high * U(segments)) >> U(32)
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             sums, seen = np.add.reduceat(mixed, first), at[first]
+            margin = max(len(seen) - most, 1)
             if len(seen) <= most:
                 empty = np.setdiff1d(np.arange(segments, dtype=U), seen)
                 seen, sums = np.concatenate([seen, empty]), np.concatenate([sums, np.zeros(len(empty), U)])
-            out.append(_mix(sums ^ _mix(seen * U(0x9E3779B97F4A7C15) + U(k + 1))))
-        return np.concatenate(out)
+            yield k, margin, _mix(sums ^ _mix(seen * U(0x9E3779B97F4A7C15) + U(k + 1))) >> U(12)
 
 
 class _Branch:
@@ -209,7 +212,7 @@ def _sets(n: int):
     """doc_id, text_hash, n_shingles, node of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t, n) for t in b.column(2).to_pylist()]
             size, node = pa.array([len(x) for x in sets], pa.int64()), pa.array(list(map(node_of, sets)), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), size, node], names=["doc_id", "text_hash", "n_shingles", "node"])
@@ -218,28 +221,55 @@ def _sets(n: int):
 
 
 def _signatures(n: int, num: int, den: int):
-    """node, signatures; once for each node that the partition has."""
+    """node, band, margin, signatures of each scheme; once for each node that the partition has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
-        for b in batches:
-            nodes, found = [], []
+        for b in slices(batches):
+            rows = []
             for t in b.column(0).to_pylist():
                 x = shingles(t, n)
                 if len(x) and (node := node_of(x)) not in seen:
                     seen.add(node)
-                    nodes.append(node)
-                    found.append(bands.signatures(x).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "signatures"])
+                    rows += [(node, k, margin, found.view(np.int64)) for k, margin, found in bands.signatures(x)]
+            cols = list(zip(*rows)) or [[]] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["node", "band", "margin", "signatures"])
 
     return run
 
 
+def _candidates(found: DataFrame) -> DataFrame:
+    """Edges (a, b) of the candidate graph, from node, band, margin, signatures.
+
+    Linked sets share at least `margin` digests of a band. Digests of at most FEW nodes are counted for each pair of
+    these; with as many common digests as both of a pair have, it has to reach the margin. A common digest (often that of
+    a segment with nothing but an n-gram of some passage in it) joins only nodes that have as many common ones as their margin:
+    any other node shares a rare digest with each of its partners. Near copies by the thousand keep theirs.
+    """
+    rows = found.select("node", "band", "margin", F.explode("signatures").alias("signature"))
+    same = Window.partitionBy("signature")
+    shared = durable(rows.select("*", F.count("*").over(same).alias("n")).where("n > 1"), "ngram-digests")
+    common = shared.where(F.col("n") > FEW).select("node", "band", "margin", "signature")
+    held = durable(common.groupBy("node", "band").agg(F.countDistinct("signature").alias("held")), "ngram-common")
+    group = shared.where(F.col("n") <= FEW).groupBy("signature", "band").agg(F.collect_set(F.struct("node", "margin")).alias("g"))  # at most FEW
+    pair = lambda x, y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.greatest(x["margin"], y["margin"]).alias("margin"))
+    pairs = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: y["node"] < x["node"]), lambda y: pair(x, y))))
+    pairs = group.where(F.size("g") > 1).select("band", F.explode_outer(pairs).alias("p")).select("band", "p.*").where("a IS NOT NULL")
+    pairs = pairs.groupBy("a", "b", "band").agg(F.count("*").alias("rare"), F.max("margin").alias("margin"))
+    for k in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("node").alias(k), "band", F.col("held").alias(f"held_{k}")), [k, "band"], "left").na.fill(0, [f"held_{k}"])
+    rare = pairs.where("rare + least(held_a, held_b) >= margin").select("a", "b")
+    kept = common.join(held, ["node", "band"]).where("held >= margin").select("node", "signature")
+    star = kept.select(F.col("node").alias("a"), F.min("node").over(same).alias("b")).where("a <> b")
+    return rare.unionByName(star)
+
+
 def _loaded(n: int):
     """member, node, set of the documents whose set is still the node that they stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for node, members, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 x = shingles(text, n)
@@ -302,19 +332,15 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def _tries(sizes: DataFrame, candidates: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """node, members: the tries (c, i, j) that a node goes to."""
+def _tries(sizes: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
+    """node, members: the tries (c, i, j) that a node goes to; those of block b of a group of n go to (b, 0) .. (b, n - 1), the smaller first."""
     grouped = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
     grouped = grouped.join(sizes, "node").select("node", F.col("root").alias("c"), "n_shingles")
-    before = Window.partitionBy("c").orderBy("n_shingles", "node").rowsBetween(Window.unboundedPreceding, -1)
-    cut = grouped.withColumn("block", F.floor(F.coalesce(F.sum("n_shingles").over(before), F.lit(0)) / block))
-    spans = cut.groupBy("c", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-    other = spans.select("c", F.col("block").alias("j"), F.col("lo").alias("lo_j"))
-    meets = F.col("j") == F.col("block")
-    pairs = spans.join(other, "c").where(meets | ((F.col("j") > F.col("block")) & (F.col("lo_j") * num <= F.col("hi") * den)))
-    pairs = pairs.select("c", F.col("block").alias("i"), "j")
-    sides = pairs.select("c", F.col("i").alias("block"), "i", "j").unionByName(pairs.where("i <> j").select("c", F.col("j").alias("block"), "i", "j"))
-    return cut.join(sides, ["c", "block"]).groupBy("node").agg(F.collect_set(F.struct("c", "i", "j")).alias("members"))
+    # grouped by more than the root: the join then deals both sides itself, and can split a large group
+    total = grouped.groupBy("c", F.xxhash64("c").alias("h")).agg(F.ceil(F.sum("n_shingles") / block).alias("blocks")).drop("h")
+    cut = grouped.join(total, "c").withColumn("b", F.pmod(F.xxhash64("node"), "blocks"))
+    trie = lambda j: F.struct(F.col("c"), F.least("b", j).alias("i"), F.greatest("b", j).alias("j"))
+    return cut.select("node", F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), trie).alias("members"))
 
 
 def classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block: int = BLOCK) -> DataFrame:
@@ -325,15 +351,12 @@ def classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block: int
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     rows = durable(texts.mapInArrow(_sets(n), "doc_id long, text_hash long, n_shingles long, node long"), "ngram-sets")
-    found = texts.select("text").mapInArrow(_signatures(n, num, den), "node long, signatures array<long>")
-    found = found.select("node", F.explode("signatures").alias("signature"))
-    first = F.min("node").over(Window.partitionBy("signature").orderBy("node"))
-    stars = found.select("node", first.alias("first")).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    candidates = components(stars)
+    found = texts.select("text").mapInArrow(_signatures(n, num, den), "node long, band int, margin int, signatures array<long>")
+    candidates = components(_candidates(found))
     place = F.min(F.struct("doc_id", "text_hash"))  # any one of its documents
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), place.alias("place"), F.min("doc_id").alias("low"))
     nodes = durable(nodes, "ngram-nodes")
-    tries = _tries(nodes.select("node", "n_shingles"), candidates, num, den, block)
+    tries = _tries(nodes.select("node", "n_shingles"), candidates, block)
     wanted = nodes.join(tries, "node").select("node", "members", "place.*").alias("w")
     own = texts.alias("t").join(wanted, [F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("t.text_hash") == F.col("w.text_hash")])
     loaded = own.select("node", "members", "text").mapInArrow(_loaded(n), "c long, i long, j long, node long, n long, set binary")
