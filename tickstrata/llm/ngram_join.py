@@ -321,9 +321,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges, last = durable(edges, "edges"), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # grouped by more than the node: the joins then deal both sides themselves, and can split a node with very many edges
+        least = both.groupBy("a", F.xxhash64("a").alias("h")).agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = large.groupBy("a", F.xxhash64("a").alias("h")).agg(F.min("b").alias("m")).drop("h")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = durable(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
