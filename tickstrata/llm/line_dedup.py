@@ -67,13 +67,14 @@ def removals(docs: DataFrame) -> DataFrame:
     places = _chunked(texts, "text").select("doc_id", "text_hash", F.posexplode_outer("chunks").alias("k", "c")).where(_may_go())
     narrow = places.select("doc_id", "text_hash", "k", F.unhex(F.md5("c.text")).alias("digest"))
     narrow = durable(narrow, "line-chunks")
-    again = narrow.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    # grouped by more than the key: the joins then deal both sides themselves, and can split what many documents share
+    again = narrow.groupBy("digest", F.xxhash64("digest").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("digest")
     held = narrow.join(again, "digest").groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("ks"))
     own = texts.alias("t").join(held.alias("h"), [F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")), F.col("t.text_hash") == F.col("h.text_hash")])
     own = _chunked(own.select("t.*", "ks"), "text").select("doc_id", "text_hash", F.posexplode_outer("chunks").alias("k", "c"), "ks")
     place = F.struct("doc_id", "text_hash", "k")
     own = durable(own.where(F.array_contains("ks", F.col("k"))).select(place.alias("place"), F.col("c.text").alias("chunk")), "line-candidates")
-    firsts = own.groupBy("chunk").agg(F.min("place").alias("first"))
+    firsts = own.groupBy("chunk", F.xxhash64("chunk").alias("hash")).agg(F.min("place").alias("first")).drop("hash")
     gone = own.join(firsts, "chunk").where("place <> first OR place.doc_id IS NULL AND NOT place <=> first").select("place.*")
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("gone"))
 
