@@ -22,6 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickstrata.llm.batches import slices
 from tickstrata.session import shared_dir
 
 _loaded: dict = {}
@@ -54,7 +55,7 @@ def _counter(path: str):
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
-        for b in batches:
+        for b in slices(batches):
             n = count(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
@@ -69,7 +70,9 @@ def read_cache(spark, cache: str, version: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         rows = spark.createDataFrame([], CACHE)
-    return rows.where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    rows = rows.where(F.col("tokenizer") == version)
+    # grouped by more than the digest: a join on it then deals both sides itself, and can split a digest that many rows share
+    return rows.groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens")).drop("tokenizer")
 
 
 def fill_cache(docs: DataFrame, tokenizer: str, cache: str) -> None:
