@@ -189,7 +189,8 @@ def groups(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
 def mark(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
     """For each row of `docs` (doc_id, text, ...): doc_id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests, "doc_id long, text_sha256 string")
-    joined = rows.join(groups(docs, budget), "text_sha256")
+    # dealt anew by doc_id: the window must not tie the join to its keys, so that a very large group can be split there
+    joined = rows.join(groups(docs, budget), "text_sha256").repartition("doc_id")
     again = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("keep_id"))
     return joined.select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (again == 1)).alias("kept"), "text_sha256"
