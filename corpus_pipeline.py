@@ -2,7 +2,8 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which
 is written as Parquet and reread as the next stage's docs. All stages but the last return the columns
-of documents. Near duplicates are judged on shingles of five words at a similarity of 0.8 or more.
+of documents. Near duplicates are judged on shingles of five words at a similarity of 0.8 or more. Line dedup takes chunks, so it leaves
+the edges of passages and most passages of a few lines; the near-duplicate stage takes those, too.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickstrata.llm import line_dedup, mixing, ngram_join, packing, quality
-from tickstrata.session import shared_dir
+from tickstrata.session import durable, shared_dir
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +26,19 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated chunks of lines out of the texts; n_chars follows the text."""
-    cleaned = line_dedup.clean(docs)
+    return _recounted(line_dedup.clean(docs), docs)
+
+
+def _recounted(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
+    """`cleaned` with the columns of `docs`, and n_chars of the texts that lines went from."""
     n_chars = F.when(cleaned["n_removed"] > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(cleaned["n_chars"])
     return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return ngram_join.one_of_each(docs, n=5, num=8, den=10)
+    """One document of each group of near copies stays; of what those still share, runs of equal lines of 50 words or more go."""
+    kept = durable(ngram_join.one_of_each(docs, n=5, num=8, den=10), "near-kept")
+    return _recounted(line_dedup.without_runs(kept), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,39 @@ def test_a_null_doc_id_comes_first(spark):
 
 def test_empty_table(spark):
     assert L.clean(frame(spark, [])).count() == 0
+
+
+def brute_runs(rows):
+    """Every run of lines of 50 words or more is searched for at all earlier places."""
+    first, out = {}, {}
+    for d, t in sorted(rows):
+        lines, gone = t.split("\n"), set()
+        for a in range(len(lines)):
+            words = 0
+            for b in range(a, len(lines)):
+                words += len(lines[b].split(" "))
+                if words >= 50:
+                    e, at = first.setdefault(tuple(lines[a : b + 1]), (d, a))
+                    if e != d or at + (b - a) < a:
+                        gone |= set(range(a, b + 1))
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
+    return out
+
+
+def test_every_repeated_run_of_50_words_goes(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join(str(rng.random()) for _ in range(n))
+    rows = []
+    for n in range(1, 11):
+        for words in (5, 9, 20, 30, 49, 50):
+            passage = [line(words) for _ in range(n)]
+            for _ in range(3):
+                rows.append((len(rows), "\n".join([line(9)] * rng.randint(0, 2) + passage + [line(9)] * rng.randint(0, 2))))
+    rows += [(500 + n, "\n".join(["a b c d e f g h i " * 2 + str(n)] * n)) for n in range(1, 12)] + [(600, "x y\n" * 3000), (601, ""), (602, "q " * 3000)]
+    small = [r for r in rows if r[0] != 600]
+    want = brute_runs(small)
+    got = {r.doc_id: r for r in L.without_runs(frame(spark, [*rows, (700, None)]).repartition(4)).collect()}
+    assert {d: (got[d].text, got[d].n_removed) for d, _ in small} == want
+    assert got[600].text == "x y\n" * 25 and got[700].text is None and got[700].n_removed == 0
+    # a passage of 2 lines of 30 words between different neighbours, which chunks miss in most cases
+    assert sum(n for _, n in want.values()) > sum(r.n_removed for r in L.clean(frame(spark, small)).collect())

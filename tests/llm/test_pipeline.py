@@ -71,3 +71,12 @@ def test_packing_stage(stages):
 def test_run(spark, sf_dir, stages):
     got = C.run(spark, sf_dir).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, stages["packing"][1].collect()))
+
+
+def test_repeated_runs_are_gone_before_mixing(spark, stages):
+    before, after = stages["near duplicates"]
+    kept = {r.doc_id for r in after.collect()}
+    want = test_line_dedup.brute_runs([x for x in texts(before) if x[0] in kept])
+    assert texts(after) == sorted((d, t) for d, (t, _) in want.items())
+    assert any(n for _, n in want.values())
+    assert all(r.n_chars == len(r.text) for r in after.collect())

@@ -10,6 +10,10 @@ that very many documents share is pre-aggregated before the shuffle and never ga
 Defined cases: a null text stays null; a text whose chunks all go becomes empty, and its row stays;
 rows that repeat doc_id and text are one document and get the same text; short single lines stay,
 however often they occur; further columns stay as they are.
+
+A passage laid out as a few lines under LONG words shares few whole chunks with its copies, as its
+edges fall to its neighbours. without_runs() has no chunks: it takes every run of equal lines of LONG
+words or more that stands earlier.
 """
 
 from __future__ import annotations
@@ -91,3 +95,70 @@ def clean(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.col("stays.text"), "\n"))
     columns = [(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns]
     return df.select(*columns, lines(F.col("chunks")).alias("n_lines"), (lines(F.col("chunks")) - lines(F.col("stays"))).alias("n_removed"))
+
+
+def _windows(texts: DataFrame) -> DataFrame:
+    """`texts` with `_lines`, `_hash` and `_at`: start * 64 + lines of the shortest windows of LONG words from and to each line.
+
+    A line has a word at least, so a window has LONG lines at most. The windows in a run of LONG words or more cover it.
+    """
+    df = texts.select("*", F.split("text", "\n").alias("_lines"))
+    df = df.select("*", F.transform("_lines", lambda x: F.xxhash64(x)).alias("_hash"), F.transform("_lines", _words).alias("_words"))
+
+    def needed(words: Column) -> Column:
+        """How many of the words' lines a window takes; null if all of them are too few."""
+        add = lambda a, x: F.when(a["words"] >= LONG, a).otherwise(F.struct((a["words"] + x).alias("words"), (a["n"] + 1).alias("n")))
+        return F.aggregate(words, F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")), add, lambda a: F.when(a["words"] >= LONG, a["n"]))
+
+    ahead = F.transform("_words", lambda _, i: i * 64 + needed(F.slice(_held("_words"), i + 1, F.lit(LONG))))
+    first = lambda i: F.greatest(i - LONG + 1, F.lit(0))
+    back = F.transform("_words", lambda _, i: needed(F.reverse(F.slice(_held("_words"), first(i) + 1, i - first(i) + 1))))
+    back = F.transform(back, lambda n, i: (i - n + 1) * 64 + n)
+    return df.select("*", F.array_compact(F.array_union(ahead, back)).alias("_at")).drop("_words")
+
+
+def _start(at: Column) -> Column:
+    return F.shiftright(at, 6)
+
+
+def _lines_of(at: Column) -> Column:
+    return at.bitwiseAND(63)
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, gone: the windows (start * 64 + lines) of a document that stand earlier, without overlap."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    digest = lambda at: F.aggregate(F.slice(_held("_hash"), _start(at) + 1, _lines_of(at)), F.lit(7).cast("long"), lambda a, x: F.xxhash64(a, x))
+    narrow = _windows(texts).select("doc_id", "text_hash", F.transform("_at", lambda at: F.struct(at.alias("at"), digest(at).alias("digest"))).alias("_at"))
+    narrow = narrow.select("doc_id", "text_hash", F.explode_outer("_at").alias("w")).where("w IS NOT NULL").select("doc_id", "text_hash", "w.*")
+    narrow = durable(narrow, "line-windows")
+    again = narrow.groupBy("digest", F.xxhash64("digest").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    held = narrow.join(again, "digest").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("ats"))
+    own = texts.alias("t").join(held.alias("h"), [F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")), F.col("t.text_hash") == F.col("h.text_hash")])
+    own = own.select("t.doc_id", "t.text_hash", "ats", F.split("t.text", "\n").alias("_lines"))
+    run = lambda at: F.struct(at.alias("at"), F.array_join(F.slice(_held("_lines"), _start(at) + 1, _lines_of(at)), "\n").alias("run"))
+    own = own.select("doc_id", "text_hash", F.explode_outer(F.transform("ats", run)).alias("w")).where("w IS NOT NULL")
+    own = durable(own.select(F.struct("doc_id", "text_hash", "w.at").alias("place"), "w.run"), "line-runs")
+    firsts = own.groupBy("run", F.xxhash64("run").alias("hash")).agg(F.min("place").alias("first")).drop("hash")
+    both = own.join(firsts, "run")
+    same = F.col("place.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place.text_hash") == F.col("first.text_hash"))
+    gone = both.where(~same | (_start(F.col("place.at")) >= _start(F.col("first.at")) + _lines_of(F.col("first.at")))).select("place.*")
+    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("gone"))
+
+
+def without_runs(docs: DataFrame) -> DataFrame:
+    """`docs` without the lines of every run of equal lines of LONG words or more that stands earlier, and n_removed beside its columns.
+
+    The first (by doc_id, then place) stays, and so do repeats that overlap it. Runs are those of the lines of `docs`.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"))
+    gone = repeated_runs(docs).alias("g")
+    df = rows.join(gone, [F.col("d").eqNullSafe(F.col("g.doc_id")), F.col("h") == F.col("g.text_hash")], "left").select("row", "gone")
+    df = df.select("row", "gone", F.split("row.text", "\n").alias("_lines"))
+    out = F.array_distinct(F.flatten(F.transform("gone", lambda at: F.sequence(_start(at), _start(at) + _lines_of(at) - 1))))
+    df = df.select("row", "_lines", out.alias("out"))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("out"))
+    kept = F.array_join(F.transform(stays, lambda i: F.get(_held("_lines"), i)), "\n")
+    text = F.when(F.col("out").isNull(), F.col("row.text")).otherwise(kept)
+    columns = [(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return df.select(*columns, F.when(F.col("out").isNull(), 0).otherwise(F.size("out")).cast("long").alias("n_removed"))
