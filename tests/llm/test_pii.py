@@ -84,3 +84,17 @@ def test_query(spark, sf_dir):
         n, spans = brute(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
         assert [r[f"n_{k}"] for k in pii.KINDS] == n
+
+
+def test_patterns_add_what_takes_several_tokens(spark):
+    texts = [f"some word reach me at +1 (555) 555-{1000 + i} today" for i in range(80)]
+    texts += [f"or you could write to user{i}@example.com please" for i in range(80)]
+    new = ["(843) 555-7672", "843 555 7673", "843 555-7674", "1 843.555 7675"]
+    texts += [f"other text reach me at {x} today, 3 times" for x in new] + [f'all can reach me at "{new[1]}".', f"they reach me at ({new[1]}), 12 of 20"]
+    mails = ["jane at host dot org", "jane [at] mail.host (dot) org", "jane@" + "h" * 90 + "o5"]
+    texts += [f"or you could write to {x} please" for x in mails]
+    rows = check(spark, texts)
+    for i, x in enumerate([*new, new[1], new[1], *mails], 160):
+        start = texts[i].index(x)
+        assert rows[i]["spans"] == f"{'email' if x in mails else 'phone'}:{start}:{start + len(x)}", (texts[i], rows[i])
+    assert all(rows[i]["n_added"] == 0 for i in range(160))
