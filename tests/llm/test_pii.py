@@ -98,3 +98,14 @@ def test_patterns_add_what_takes_several_tokens(spark):
         start = texts[i].index(x)
         assert rows[i]["spans"] == f"{'email' if x in mails else 'phone'}:{start}:{start + len(x)}", (texts[i], rows[i])
     assert all(rows[i]["n_added"] == 0 for i in range(160))
+
+
+def test_many_unseen_values_and_patterns_of_found_ones(spark):
+    texts = [f"some word reach me at +1 (555) 555-{1000 + i} today" for i in range(40)]
+    texts += [f"other text reach me at 555-123-{4000 + i} today" for i in range(60)]
+    texts += [f"the sales desk: 555-123-{4000 + i} for orders" for i in range(8)] + ["the sales desk: 555-999-4567 for orders"]
+    # words of other shapes beside seeds still count against a pattern
+    texts += [f"item costs +1 (777) 555-{1000 + i} now" for i in range(6)] + [f"item costs eur{i}00 now" for i in range(6)] + ["item costs 555-777-4567 now"]
+    rows = check(spark, texts)
+    assert all(rows[i]["n_added"] == 1 for i in range(40, 109))
+    assert all(rows[i]["n_added"] == 0 for i in (*range(40), *range(109, len(texts))))

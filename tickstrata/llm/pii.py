@@ -3,8 +3,8 @@
 Seeds are the spans that the fixed patterns find: email, ip, card and phone. The words beside the
 seeds become lexical patterns (last word before, last two before, first word after). Patterns and the
 instances in their slots form a graph, scored in turns: a pattern's confidence is the mean score of
-its distinct instances, an instance's score is one minus the chance that all of its accepted patterns
-are wrong; seeds keep score 1. An instance that no fixed pattern caught is added if it has the rough
+its distinct instances, without those of the kind's shape that have no score yet; an instance's score
+is one minus the chance that all of its accepted patterns are wrong; seeds keep score 1. An instance that no fixed pattern caught is added if it has the rough
 shape of the kind and its score after the last turn reaches the threshold. Seeds always stay. An
 instance is a token, a run of tokens of digits (phone and card) or an email spelled out in words.
 
@@ -222,24 +222,25 @@ def _edges(scanned: DataFrame) -> DataFrame:
 def discover(scanned: DataFrame, turns: int = 3, support: int = 5, confidence: float = 0.9) -> DataFrame:
     """row, start, end, kind, score of the instances that the patterns add.
 
-    support: distinct seeds that a pattern needs; confidence: what patterns and added instances need.
+    support: distinct seeds or instances found before that a pattern needs; confidence: what patterns and added instances need.
     """
     graph = durable(_edges(scanned).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-graph")
     shaped = reduce(lambda a, b: a.when(b[0], b[1]), [(F.col("value").rlike(SHAPES[k]), F.lit(i)) for i, k in enumerate(KINDS)][1:], F.when(F.col("value").rlike(SHAPES["email"]), F.lit(0)))
     graph = graph.withColumn("shape", F.coalesce("seed", shaped))
-    seeds = graph.where("seed IS NOT NULL").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds"))
-    seeds = seeds.where(F.col("seeds") >= support)
     scores = None
     for _ in range(turns):
         slots = graph.where("seed IS NOT NULL OR shape IS NOT NULL")
         if scores is not None:
             slots = slots.join(scores, ["value"], "left")
-            score = F.when(F.col("seed").isNotNull(), 1.0).when(F.col("shape") == F.col("score_kind"), F.col("score")).otherwise(0.0)
+            known = F.when(F.col("seed").isNotNull(), 1.0).when(F.col("shape") == F.col("score_kind"), F.col("score"))
         else:
-            score = F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0)
-        by = slots.groupBy("pattern", F.col("shape").alias("kind")).agg(F.sum(score).alias("good"))
+            known = F.when(F.col("seed").isNotNull(), 1.0)
+        # a value of the shape that nothing is known of yet says neither yes nor no
+        count = lambda test: F.sum(test.cast("long"))
+        by = slots.groupBy("pattern", F.col("shape").alias("kind")).agg(F.sum(known).alias("good"), count(known.isNull()).alias("unknown"), count(F.coalesce(known, F.lit(0)) >= confidence).alias("held"))
         filled = graph.groupBy("pattern").agg(F.count("*").alias("instances"))
-        accepted = by.join(seeds, ["pattern", "kind"]).join(filled, "pattern").select("pattern", "kind", (F.col("good") / F.col("instances")).alias("confidence"))
+        accepted = by.where(F.col("held") >= support).join(filled, "pattern")
+        accepted = accepted.select("pattern", "kind", (F.col("good") / (F.col("instances") - F.col("unknown"))).alias("confidence"))
         accepted = accepted.where(F.col("confidence") >= confidence)
         found = graph.where("seed IS NULL").join(accepted, "pattern").where("shape = kind")
         wrong = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
