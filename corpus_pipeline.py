@@ -2,8 +2,13 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which
 is written as Parquet and reread as the next stage's docs. All stages but the last return the columns
-of documents. Near duplicates are judged on shingles of five words at a similarity of 0.8 or more. Line dedup takes chunks, so it leaves
-the edges of passages and most passages of a few lines; the near-duplicate stage takes those, too.
+of documents. Near duplicates are judged on shingles of five words at a similarity of 0.8 or more. A copy that
+lost its repeated lines would no longer resemble the document it copies, so line dedup leaves documents that would
+lose COPY of their text to the near-duplicate stage, which takes the repeated lines of those that stay.
+
+Defined cases: a null text counts as empty; of texts without words one stays; a row with its text and doc_id repeated
+is one document from the near-duplicate stage on; texts of any length go through whole; stages keep the columns of
+their docs, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ from pyspark.sql import functions as F
 from tickstrata.llm import line_dedup, mixing, ngram_join, packing, quality
 from tickstrata.session import durable, shared_dir
 
+COPY = 0.2  # share of a text in repeated lines from which on the document is judged as a whole
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the quality classifier gives the highest grade with probability 0.5 or more."""
@@ -25,8 +32,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take repeated chunks of lines out of the texts; n_chars follows the text."""
-    return _recounted(line_dedup.clean(docs), docs)
+    """Take repeated runs of lines out of the texts, but for copies as a whole; n_chars follows the text."""
+    return _recounted(line_dedup.clean(docs, whole=COPY), docs)
 
 
 def _recounted(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
@@ -36,9 +43,9 @@ def _recounted(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays; of what those still share, runs of equal lines of 50 words or more go."""
+    """One document of each group of near copies stays; of what those still share, repeated runs of lines go."""
     kept = durable(ngram_join.one_of_each(docs, n=5, num=8, den=10), "near-kept")
-    return _recounted(line_dedup.without_runs(kept), docs)
+    return _recounted(line_dedup.clean(kept), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -371,14 +371,14 @@ def classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block: int
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of `docs` without near copies: of each component the row of the smallest doc_id, and all with an empty set.
+    """The rows of `docs` without near copies: of each component the row of the smallest doc_id, and one of those with an empty set.
 
     Of rows that repeat doc_id and text, one stays.
     """
     found = classes(docs, n, num, den)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     some = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(order).alias("stays")).select("stays.doc_id", "stays.text_hash")
-    none = found.where("n_shingles = 0").select("doc_id", "text_hash").distinct()
+    none = found.where("n_shingles = 0").agg(F.min(order).alias("stays")).where("stays IS NOT NULL").select("stays.doc_id", "stays.text_hash")
     stays = some.unionByName(none)
     copies = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
     same = lambda a, b: [F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")), F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash")]

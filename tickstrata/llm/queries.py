@@ -76,15 +76,20 @@ ORACLES = {
                 CAST(CAST('0x' || substr(md5(k), 1, 5) AS BIGINT) AS DOUBLE) / 1048576 AS u,
                 row_number() OVER (PARTITION BY k ORDER BY length(bin(size)) * 8 + ((size * 8) >> (length(bin(size)) - 1)) % 8, md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) AS rank FROM t JOIN g USING (k))
         SELECT doc_id, size, source_size, target, CAST(floor(rank * rate + u) - floor((rank - 1) * rate + u) AS BIGINT) * size AS taken FROM r""",
-    "op9_line_dedup": """
-        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-        h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 4) AS BIGINT) AS d, len(string_split(line, ' ')) AS words FROM l),
-        e AS (SELECT *, words >= 50 OR coalesce(lead(words) OVER w, 50) >= 50 OR (coalesce(lag(d) OVER w, 0) * 31 + d) % 101 % 2 = 0 AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-        n AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
-        c AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS lines, sum(words) AS words FROM n GROUP BY doc_id, k),
-        r AS (SELECT *, words >= 10 AND (lines >= 2 OR words >= 50) AND row_number() OVER (PARTITION BY chunk, words >= 10 AND (lines >= 2 OR words >= 50) ORDER BY doc_id, k) > 1 AS gone FROM c)
-        SELECT doc_id, CAST(sum(lines) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN lines ELSE 0 END) AS BIGINT) AS n_removed,
-               sha256(coalesce(string_agg(CASE WHEN NOT gone THEN chunk END, chr(10) ORDER BY k), '')) AS text_sha256 FROM r GROUP BY doc_id""",
+    "op9_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+        h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 4) AS BIGINT) AS d, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
+        p AS (SELECT *, lead(i) OVER w IS NULL OR (coalesce(lag(d) OVER w, 0) * 31 + d) % 101 % 2 = 0 AS ends,
+                greatest(words, 1) AS least, sum(greatest(words, 1)) OVER w AS upto FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        n AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM p),
+        x AS (SELECT a.doc_id, a.i AS s, b.i AS e FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 49 AND b.upto - a.upto + a.least >= 50),
+        u AS (SELECT doc_id, min(i) AS s, max(i) AS e FROM n GROUP BY doc_id, k HAVING count(*) > 1
+              UNION SELECT doc_id, s, min(e) FROM x GROUP BY doc_id, s UNION SELECT doc_id, max(s), e FROM x GROUP BY doc_id, e),
+        c AS (SELECT u.doc_id, s, e, string_agg(line, chr(10) ORDER BY i) AS chunk FROM u JOIN p ON p.doc_id = u.doc_id AND i BETWEEN s AND e GROUP BY ALL HAVING sum(words) > 0),
+        f AS (SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(e) OVER w AS first_end FROM c WINDOW w AS (PARTITION BY chunk ORDER BY doc_id, s)),
+        g AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM f WHERE doc_id <> first_doc OR s > first_end)
+        SELECT doc_id, count(*) AS n_lines, count(g.i) AS n_removed, sha256(coalesce(string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY p.i), '')) AS text_sha256
+        FROM p LEFT JOIN g USING (doc_id, i) GROUP BY doc_id""",
     "op10_ngram_join": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
