@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickstrata.llm.batches import slices
@@ -247,21 +247,23 @@ def _candidates(found: DataFrame) -> DataFrame:
     a segment with nothing but an n-gram of some passage in it) joins only nodes that have as many common ones as their margin:
     any other node shares a rare digest with each of its partners. Near copies by the thousand keep theirs.
     """
-    rows = found.select("node", "band", "margin", F.explode("signatures").alias("signature"))
-    same = Window.partitionBy("signature")
-    shared = durable(rows.select("*", F.count("*").over(same).alias("n")).where("n > 1"), "ngram-digests")
+    rows = durable(found, "ngram-digests").select("node", "band", "margin", F.explode("signatures").alias("signature"))
+    # grouped by more than the digest: the joins then deal both sides themselves, and can split a digest that many nodes share
+    more = F.col("signature").bitwiseAND(1).alias("h")
+    again = rows.groupBy("signature", more).agg(F.count("*").alias("n")).where("n > 1").drop("h")
+    shared = durable(rows.join(again, "signature"), "ngram-shared")
     common = shared.where(F.col("n") > FEW).select("node", "band", "margin", "signature")
     held = durable(common.groupBy("node", "band").agg(F.countDistinct("signature").alias("held")), "ngram-common")
-    group = shared.where(F.col("n") <= FEW).groupBy("signature", "band").agg(F.collect_set(F.struct("node", "margin")).alias("g"))  # at most FEW
-    pair = lambda x, y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.greatest(x["margin"], y["margin"]).alias("margin"))
+    few = shared.where(F.col("n") <= FEW).join(held, ["node", "band"], "left").na.fill(0, ["held"])
+    group = few.groupBy("signature", "band").agg(F.collect_set(F.struct("node", "margin", "held")).alias("g"))  # at most FEW
+    pair = lambda x, y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.greatest(x["margin"], y["margin"]).alias("margin"), F.least(x["held"], y["held"]).alias("held"))
     pairs = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: y["node"] < x["node"]), lambda y: pair(x, y))))
     pairs = group.where(F.size("g") > 1).select("band", F.explode_outer(pairs).alias("p")).select("band", "p.*").where("a IS NOT NULL")
-    pairs = pairs.groupBy("a", "b", "band").agg(F.count("*").alias("rare"), F.max("margin").alias("margin"))
-    for k in ("a", "b"):
-        pairs = pairs.join(held.select(F.col("node").alias(k), "band", F.col("held").alias(f"held_{k}")), [k, "band"], "left").na.fill(0, [f"held_{k}"])
-    rare = pairs.where("rare + least(held_a, held_b) >= margin").select("a", "b")
+    pairs = pairs.groupBy("a", "b", "band").agg(F.count("*").alias("rare"), F.max("margin").alias("margin"), F.max("held").alias("held"))
+    rare = pairs.where("rare + held >= margin").select("a", "b")
     kept = common.join(held, ["node", "band"]).where("held >= margin").select("node", "signature")
-    star = kept.select(F.col("node").alias("a"), F.min("node").over(same).alias("b")).where("a <> b")
+    least = kept.groupBy("signature", more).agg(F.min("node").alias("b")).drop("h")
+    star = kept.join(least, "signature").where("node <> b").select(F.col("node").alias("a"), "b")
     return rare.unionByName(star)
 
 
