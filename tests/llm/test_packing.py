@@ -78,6 +78,35 @@ def test_the_genetic_step_saves_bins():
     assert sorted(k for b in best.bins for k in b) == list(range(len(sizes)))
 
 
+def test_registered_settings_save_bins_against_best_fit(spark):
+    """Blocks as the query evolves them: islands, rounds and generations are the defaults."""
+    rng, saved = random.Random(11), []
+    for n in (20, 60, 200):
+        sizes = []
+        for _ in range(n):
+            a, b = rng.randint(300, 900), rng.randint(300, 900)
+            sizes += [a, b, K.SIZE - a - b]
+        cut = spark.createDataFrame([(k, 0, 0, x, k) for k, x in enumerate(sizes)], K.PIECE)
+        got = K.pack(cut).collect()
+        bins = {}
+        for r in got:
+            bins[r.sequence_id] = bins.get(r.sequence_id, 0) + r.length
+        assert len(got) == len(sizes) and max(bins.values()) <= K.SIZE
+        saved.append(len(K.start(sizes, K.SIZE, rng, 0.0).bins) - len(bins))
+    assert min(saved) >= 0 and saved[1] >= 1 and saved[2] >= 2, saved
+
+
+def test_exchange_fills_bins():
+    rng = random.Random(12)
+    sizes = [rng.randint(1, 900) for _ in range(300)]
+    bins, fill = [[k, k + 1] for k in range(0, 200, 2)], [sizes[k] + sizes[k + 1] for k in range(0, 200, 2)]
+    before, free = list(fill), list(range(200, 300))
+    left = K.exchange(bins, fill, free, sizes, 1800, list(range(100)))
+    assert all(b <= f <= 1800 for b, f in zip(before, fill)) and sum(fill) > sum(before)
+    assert fill == [sum(sizes[x] for x in b) for b in bins]
+    assert sorted([x for b in bins for x in b] + left) == list(range(300))
+
+
 def test_crossover_keeps_each_piece_once():
     rng = random.Random(6)
     sizes = [rng.randint(1, K.SIZE) for _ in range(500)]

@@ -3,8 +3,9 @@
 Pieces are dealt to blocks by hash, a few thousand each, so that sizes are mixed alike. Several
 islands evolve packings of each block, each island a task of its own. A packing starts from best-fit
 on a perturbed descending order. Crossover injects whole well-filled bins of one parent into the
-other, drops the bins that hold a piece twice by now, and best-fits the displaced pieces, largest
-first. Between rounds each island's elite migrates to the next island; in the end the best
+other, drops the bins that hold a piece twice by now and some of the emptiest ones, lets bins exchange pieces for
+displaced ones that fill them better, and best-fits those that stay displaced. A block whose packing has as few
+bins as its tokens need is done. Between rounds each island's elite migrates to the next island; in the end the best
 packing of a block is used. Every random choice is seeded by block, island and round, so a lost task
 gives the same packing again.
 
@@ -26,6 +27,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,9 @@ from tickstrata.llm.batches import slices
 from tickstrata.session import durable
 
 SIZE = 2048
+PASSES = 3  # over the bins, to exchange displaced pieces
+ORDERS = 6  # for the best fit of what stays displaced
+PAIRED = 60  # displaced pieces, the shortest ones, that are also tried two at a time
 END = 0
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 FINAL = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -138,11 +143,60 @@ def start(sizes: list[int], size: int, rng: random.Random, noise: float) -> Pack
     return Packing(bins, sizes, size)
 
 
+def exchange(bins: list[list[int]], fill: list[int], free: list[int], sizes: list[int], size: int, order: list[int]) -> list[int]:
+    """Give bins, in `order`, one displaced piece for up to two of theirs, or two for up to one, where that fills them better.
+
+    Returns what is displaced then: its total falls with each exchange.
+    """
+    free = sorted(free, key=lambda k: (sizes[k], k))
+    lengths = np.array([sizes[k] for k in free], np.int64)
+
+    def paired():
+        i, j = np.triu_indices(min(len(lengths), PAIRED), 1)
+        sums = lengths[i] + lengths[j]
+        at = np.argsort(sums, kind="stable")
+        return sums[at], i[at], j[at]
+
+    pairs = paired()
+    for k in order:
+        if not len(free):
+            break
+        room = size - fill[k]
+        if not room:
+            continue
+        # at equal gain many pieces come out for one: short pieces among the displaced make those easier to place
+        outs = [*combinations(bins[k][:PAIRED], 2), *((x,) for x in bins[k]), ()]
+        less = np.array([sum(sizes[x] for x in o) for o in outs], np.int64)
+        one = np.searchsorted(lengths, less + room, "right") - 1
+        gains = np.where(one >= 0, lengths[one] - less, 0)
+        best = int(gains.argmax())
+        out, come, gain = outs[best], [int(one[best])], int(gains[best])
+        if gain < room and len(pairs[0]):
+            less = less[-len(bins[k]) - 1 :]
+            two = np.searchsorted(pairs[0], less + room, "right") - 1
+            gains = np.where(two >= 0, pairs[0][two] - less, 0)
+            best = int(gains.argmax())
+            if gains[best] > gain:
+                at = two[best]
+                out, come, gain = outs[len(outs) - len(less) + best], sorted((int(pairs[1][at]), int(pairs[2][at]))), int(gains[best])
+        if gain <= 0:
+            continue
+        bins[k] = [x for x in bins[k] if x not in out] + [free[x] for x in come]
+        fill[k] = sum(map(sizes.__getitem__, bins[k]))
+        for x in reversed(come):
+            del free[x]
+        for x in out:
+            insort(free, x, key=lambda x: (sizes[x], x))
+        lengths = np.array([sizes[x] for x in free], np.int64)
+        pairs = paired()
+    return free
+
+
 def cross(a: Packing, b: Packing, sizes: list[int], size: int, rng: random.Random) -> Packing:
-    """`a` with some whole well-filled bins of `b`."""
+    """`a` with some whole well-filled bins of `b`; the displaced pieces are exchanged for others, then best-fitted."""
     ranked = sorted(range(len(b.bins)), key=lambda k: -b.fill[k])
     good = ranked[: max(1, len(ranked) // 2)]
-    chosen = [b.bins[k] for k in rng.sample(good, max(1, len(good) // 5))]
+    chosen = [b.bins[k] for k in rng.sample(good, max(1, len(good) // rng.choice((5, 20, 80, 320))))]
     injected = {item for items in chosen for item in items}
     kept, free = [], []
     for items in a.bins:
@@ -150,18 +204,35 @@ def cross(a: Packing, b: Packing, sizes: list[int], size: int, rng: random.Rando
             kept.append(list(items))
         else:
             free += [k for k in items if k not in injected]
-    # the emptiest bins are dissolved, too, so that a bin can be saved
+    # some of the emptiest bins, and some others, are dissolved, too, so that a bin can be saved
     kept.sort(key=lambda items: -sum(map(sizes.__getitem__, items)))
-    for items in kept[max(1, len(kept) - 2) :]:
-        free += items
-    kept = kept[: max(1, len(kept) - 2)]
-    kept += [list(items) for items in chosen]
-    free.sort(key=lambda k: (-sizes[k], k))
-    best_fit(kept, [sum(map(sizes.__getitem__, items)) for items in kept], free, sizes, size)
-    return Packing(kept, sizes, size)
-
-
-def evolve(sizes: list[int], size: int, seed: str, elites: list[Packing], population: int = 4, generations: int = 8) -> Packing:
+    least = max(1, len(kept) - rng.choice((1, 2, 4, 8, 16)))
+    gone = {*range(least, len(kept)), *rng.sample(range(least), min(least - 1, rng.choice((0, 4, 16, 64))))}
+    free += [item for k in gone for item in kept[k]]
+    kept = [items for k, items in enumerate(kept) if k not in gone] + [list(items) for items in chosen]
+    fill = [sum(map(sizes.__getitem__, items)) for items in kept]
+    for _ in range(PASSES):
+        order = [k for k in range(len(kept)) if fill[k] < size]
+        rng.shuffle(order)
+        before = sum(fill)
+        free = exchange(kept, fill, free, sizes, size, order)
+        if not free or sum(fill) == before:
+            break
+    # what is displaced still goes to bins in the best of some orders
+    found = []
+    for k in range(ORDERS):
+        order = sorted(free, key=lambda x: (-sizes[x] * (1 + 0.15 * k * rng.random()), x))
+        room = [k for k in range(len(kept)) if fill[k] < size]
+        bins, held = [list(kept[k]) for k in room], [fill[k] for k in room]
+        best_fit(bins, held, order, sizes, size)
+        found.append((len(bins), -sum(sum(map(sizes.__getitem__, x)) ** 2 for x in bins), k, room, bins))
+    _, _, _, room, bins = min(found, key=lambda x: x[:3])
+    for k, items in zip(room, bins):
+        kept[k] = items
+    return Packing(kept + bins[len(room) :], sizes, size)
+
+
+def evolve(sizes: list[int], size: int, seed: str, elites: list[Packing], population: int = 4, generations: int = 12) -> Packing:
     """The best packing after some generations; `elites` come from earlier rounds."""
     rng = random.Random(seed)
     pool = list(elites) + [start(sizes, size, rng, 0.0 if not k else 0.1 * k) for k in range(max(population - len(elites), 1))]
