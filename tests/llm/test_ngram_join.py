@@ -125,3 +125,20 @@ def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in queries.op10_ngram_join(spark, sf_dir).collect())
     assert got == brute(rows, 3, 9, 10)
+
+
+def test_a_group_of_many_blocks_is_not_compared_block_by_block(spark, monkeypatch):
+    """Near copies by the hundred: each goes to one trie, and few of them to another one."""
+    rng, went = random.Random(9), []
+    base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))
+    rows = [(k, f"{base} own{k}") for k in range(600)]
+    links = N._Linker.links
+
+    def counted(self, tries):
+        went.append(tries.selectExpr("sum(size(members)) AS n").first().n or 0)
+        return links(self, tries)
+
+    monkeypatch.setattr(N._Linker, "links", counted)
+    got = N.classes(spark.createDataFrame(rows, "doc_id long, text string"), block=3000).collect()  # 20 blocks
+    assert len(got) == 600 and {r.component_id for r in got} == {0}
+    assert went[0] == 600 and sum(went) < 1000, went

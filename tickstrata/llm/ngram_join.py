@@ -12,8 +12,11 @@ size can have differences, plus a margin. Linked sets then agree on some whole s
 share a segment's digest are joined to the smallest of them (but for common digests that a set can do without), the connected groups of this candidate
 graph are found with distributed star contraction, and each group goes to a trie. Segments that are empty
 on both sides need no digest: the margin leaves more segments with n-grams than differences; a set
-for which that does not hold emits digests for its empty segments, too. A group of more n-grams than fit one
-task is cut into blocks by hash, and each pair of blocks gets a trie of its own.
+for which that does not hold emits digests for its empty segments, too. A group of more n-grams than
+a block holds is cut into blocks by hash, each with a trie of its own. Few members of what that has joined are dealt
+to tries anew until nothing more is joined; then only the nodes outside the group's largest component meet all
+the others, block by block. So a large group of near copies takes about a trie for each block; the work is quadratic
+only in what stays outside the largest component.
 
 Hashes have 64 bits; n-grams and sets are taken as equal if their hashes are.
 
@@ -30,14 +33,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickstrata.llm.batches import slices
 from tickstrata.session import durable
 
 U = np.uint64
-BLOCK = 1 << 20  # n-grams in a block of a large group
+BLOCK = 1 << 17  # n-grams in a block of a large group
+MEMBERS = 4  # of a component, to look for links to others of its group
 FEW = 4  # nodes that may share a digest before it counts as common
 
 
@@ -208,33 +212,26 @@ class Trie:
             node, at = kid, at + same
 
 
-def _sets(n: int):
-    """doc_id, text_hash, n_shingles, node of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            sets = [shingles(t, n) for t in b.column(2).to_pylist()]
-            size, node = pa.array([len(x) for x in sets], pa.int64()), pa.array(list(map(node_of, sets)), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), size, node], names=["doc_id", "text_hash", "n_shingles", "node"])
-
-    return run
-
-
-def _signatures(n: int, num: int, den: int):
-    """node, band, margin, signatures of each scheme; once for each node that the partition has."""
+def _sets(n: int, num: int, den: int):
+    """doc_id, text_hash, n_shingles, node of each document, and the schemes of each node once for each partition that has it."""
+    names = ["doc_id", "text_hash", "n_shingles", "node", "schemes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
         for b in slices(batches):
-            rows = []
-            for t in b.column(0).to_pylist():
+            size, node, ends, rows = [], [], [0], []
+            for t in b.column(2).to_pylist():
                 x = shingles(t, n)
-                if len(x) and (node := node_of(x)) not in seen:
-                    seen.add(node)
-                    rows += [(node, k, margin, found.view(np.int64)) for k, margin, found in bands.signatures(x)]
-            cols = list(zip(*rows)) or [[]] * 4
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["node", "band", "margin", "signatures"])
+                size.append(len(x))
+                node.append(node_of(x))
+                if len(x) and node[-1] not in seen:
+                    seen.add(node[-1])
+                    rows += bands.signatures(x)
+                ends.append(len(rows))
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *(len(r[2]) for r in rows)], dtype=np.int32), np.concatenate([np.zeros(0, U), *(r[2] for r in rows)]).view(np.int64))
+            schemes = pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), lists], ["band", "margin", "signatures"])
+            columns = [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), schemes)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -247,7 +244,7 @@ def _candidates(found: DataFrame) -> DataFrame:
     a segment with nothing but an n-gram of some passage in it) joins only nodes that have as many common ones as their margin:
     any other node shares a rare digest with each of its partners. Near copies by the thousand keep theirs.
     """
-    rows = durable(found, "ngram-digests").select("node", "band", "margin", F.explode("signatures").alias("signature"))
+    rows = found.select("node", "band", "margin", F.explode("signatures").alias("signature"))
     # grouped by more than the digest: the joins then deal both sides themselves, and can split a digest that many nodes share
     more = F.col("signature").bitwiseAND(1).alias("h")
     again = rows.groupBy("signature", more).agg(F.count("*").alias("n")).where("n > 1").drop("h")
@@ -335,15 +332,70 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def _tries(sizes: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
-    """node, members: the tries (c, i, j) that a node goes to; those of block b of a group of n go to (b, 0) .. (b, n - 1), the smaller first."""
+def _blocked(nodes: DataFrame, block: int, seed: int) -> DataFrame:
+    """`nodes` (node, c, n_shingles, ...) with b, of `blocks` blocks of a group c."""
+    # grouped by more than the group: the join then deals both sides itself, and can split a large group
+    total = nodes.groupBy("c", F.xxhash64("c").alias("h")).agg(F.ceil(F.sum("n_shingles") / block).alias("blocks")).drop("h")
+    return nodes.join(total, "c").withColumn("b", F.pmod(F.xxhash64("node", F.lit(seed)), "blocks"))
+
+
+def _member(i, j):
+    return F.struct(F.col("c"), i.alias("i"), j.alias("j"))
+
+
+class _Linker:
+    """Finds the links in tries of nodes, from the texts."""
+
+    def __init__(self, texts: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> None:
+        self.texts, self.nodes, self.n, self.num, self.den = texts, nodes, n, num, den
+        self.parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def links(self, tries: DataFrame) -> DataFrame:
+        """Edges (a, b) from node, members: the tries (c, i, j) that a node goes to."""
+        wanted = self.nodes.join(tries, "node").select("node", "members", "place.*").alias("w")
+        own = self.texts.alias("t").join(wanted, [F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("t.text_hash") == F.col("w.text_hash")])
+        loaded = own.select("node", "members", "text").mapInArrow(_loaded(self.n), "c long, i long, j long, node long, n long, set binary")
+        loaded = loaded.repartition(self.parts, "c", "i", "j").sortWithinPartitions("c", "i", "j", "n", "node")
+        return durable(loaded.mapInArrow(_joined(self.num, self.den), "a long, b long"), "ngram-links")
+
+
+def _all_links(linker: _Linker, candidates: DataFrame, block: int) -> DataFrame:
+    """Edges (a, b) that have the components of all links, from the candidate groups (node, root).
+
+    A group of one block has one trie. Of a larger one each block has a trie; then a few members of each component that is
+    known so far are dealt to blocks anew, in turns, until that joins no more of them. What is in the largest component
+    by then needs no comparison within it: only the nodes outside it meet all others, block by block.
+    """
     grouped = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
-    grouped = grouped.join(sizes, "node").select("node", F.col("root").alias("c"), "n_shingles")
-    # grouped by more than the root: the join then deals both sides itself, and can split a large group
-    total = grouped.groupBy("c", F.xxhash64("c").alias("h")).agg(F.ceil(F.sum("n_shingles") / block).alias("blocks")).drop("h")
-    cut = grouped.join(total, "c").withColumn("b", F.pmod(F.xxhash64("node"), "blocks"))
-    trie = lambda j: F.struct(F.col("c"), F.least("b", j).alias("i"), F.greatest("b", j).alias("j"))
-    return cut.select("node", F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), trie).alias("members"))
+    grouped = grouped.join(linker.nodes.select("node", "n_shingles"), "node").select("node", F.col("root").alias("c"), "n_shingles")
+    grouped = durable(_blocked(grouped, block, 0), "ngram-groups")
+    one = lambda blocked: blocked.select("node", F.array(_member(F.col("b"), F.col("b"))).alias("members"))
+    found = linker.links(one(grouped))
+    large = grouped.where("blocks > 1").select("node", "c", "n_shingles")
+    if large.isEmpty():
+        return found
+    state, turn = None, 0
+    while True:
+        roots = large.join(components(found), "node", "left").select(*large.columns, F.coalesce("root", "node").alias("root"))
+        roots = durable(roots, "ngram-roots")
+        last, state = state, roots.select(F.countDistinct("c", "root")).first()[0]
+        if state == last:
+            break
+        turn += 1
+        order = Window.partitionBy("c", "root").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        few = roots.withColumn("k", F.row_number().over(order)).where(F.col("k") <= MEMBERS)
+        found = found.unionByName(linker.links(one(_blocked(few.select(*large.columns), block, turn))))
+    by = roots.groupBy("c", "root").agg(F.sum("n_shingles").alias("n")).groupBy("c").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    outside = roots.join(by, "c").where("root <> largest").select(*large.columns)
+    outside = durable(_blocked(outside, block, 1), "ngram-outside")
+    p = outside.select("c", F.col("blocks").alias("p")).distinct()
+    every = _blocked(roots.join(p.select("c"), "c", "left_semi").select(*large.columns), block, 0)
+    q = every.select("c", F.col("blocks").alias("q")).distinct()
+    counted = lambda n, make: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), make)
+    left = outside.join(q, "c").select("node", counted("q", lambda j: _member(F.col("b"), j)).alias("members"))
+    right = every.join(p, "c").select("node", counted("p", lambda i: _member(i, F.col("b"))).alias("members"))
+    both = left.unionByName(right).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("members"))
+    return found.unionByName(linker.links(both))
 
 
 def classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block: int = BLOCK) -> DataFrame:
@@ -351,20 +403,15 @@ def classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block: int
 
     Two documents link when den * intersection >= num * union of their sets of n-grams.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = durable(texts.mapInArrow(_sets(n), "doc_id long, text_hash long, n_shingles long, node long"), "ngram-sets")
-    found = texts.select("text").mapInArrow(_signatures(n, num, den), "node long, band int, margin int, signatures array<long>")
-    candidates = components(_candidates(found))
+    schema = "doc_id long, text_hash long, n_shingles long, node long, schemes array<struct<band:int,margin:int,signatures:array<long>>>"
+    sets = durable(texts.mapInArrow(_sets(n, num, den), schema), "ngram-sets")
+    rows = sets.drop("schemes")
+    candidates = components(_candidates(sets.select("node", F.inline("schemes"))))
     place = F.min(F.struct("doc_id", "text_hash"))  # any one of its documents
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), place.alias("place"), F.min("doc_id").alias("low"))
     nodes = durable(nodes, "ngram-nodes")
-    tries = _tries(nodes.select("node", "n_shingles"), candidates, block)
-    wanted = nodes.join(tries, "node").select("node", "members", "place.*").alias("w")
-    own = texts.alias("t").join(wanted, [F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("t.text_hash") == F.col("w.text_hash")])
-    loaded = own.select("node", "members", "text").mapInArrow(_loaded(n), "c long, i long, j long, node long, n long, set binary")
-    loaded = loaded.repartition(parts, "c", "i", "j").sortWithinPartitions("c", "i", "j", "n", "node")
-    links = components(loaded.mapInArrow(_joined(num, den), "a long, b long"))
+    links = components(_all_links(_Linker(texts, nodes, n, num, den), candidates, block))
     roots = nodes.join(links, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     least = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     by_node = roots.join(least, "root").select("node", "component_id")
