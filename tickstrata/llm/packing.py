@@ -25,6 +25,7 @@ import os
 import random
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import combinations
@@ -40,12 +41,13 @@ from tickstrata.session import durable
 SIZE = 2048
 PASSES = 3  # over the bins, to exchange displaced pieces
 ORDERS = 6  # for the best fit of what stays displaced
+STALE = 6  # generations without a better packing, after which an island waits for the next round
 PAIRED = 60  # displaced pieces, the shortest ones, that are also tried two at a time
 END = 0
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 FINAL = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-_SLOW = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]|<\||\s{200}")
-_RUN = 300  # characters without a break, beyond which merging by tiktoken takes too long
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*")
+_RUN = 300  # characters of a run of one kind, beyond which merging by tiktoken takes too long
 _loaded: dict = {}
 
 
@@ -73,9 +75,11 @@ def _encoder(path: str):
         fast = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
         def one(text: str) -> np.ndarray:
-            if _SLOW.search(text) or max(map(len, text.split()), default=0) > _RUN:
+            words = text.split()
+            blank = len(text) - sum(map(len, words)) - len(words)  # beyond one for each word
+            if blank > _RUN or len(max(words, key=len, default="")) > _RUN or "<|" in text or not _PLAIN.fullmatch(text):
                 return plain(text)
-            return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            return np.frombuffer(array("I", fast.encode_ordinary(text)), np.uint32)
 
     _loaded[path] = one
     return one
@@ -236,12 +240,14 @@ def evolve(sizes: list[int], size: int, seed: str, elites: list[Packing], popula
     """The best packing after some generations; `elites` come from earlier rounds."""
     rng = random.Random(seed)
     pool = list(elites) + [start(sizes, size, rng, 0.0 if not k else 0.1 * k) for k in range(max(population - len(elites), 1))]
+    stale = 0
     for _ in range(generations if len(sizes) > 1 else 0):
         pool.sort(key=lambda p: p.score, reverse=True)
-        if not pool[0].bins or len(pool[0].bins) == -(-sum(sizes) // size):
+        if stale == STALE or not pool[0].bins or len(pool[0].bins) == -(-sum(sizes) // size):
             break  # no packing has fewer bins
         a = pool[0] if rng.random() < 0.5 else rng.choice(pool[: max(2, population // 2)])
         child = cross(a, rng.choice(pool), sizes, size, rng)
+        stale = 0 if child.score > pool[0].score else stale + 1
         if child.score > pool[-1].score:
             pool[-1] = child
     return max(pool, key=lambda p: p.score)
