@@ -28,7 +28,7 @@ def event_time_ms(top: Column, msg_type: Column, data: Column, data_time: Column
 
 def in_time(event_ms: Column, now_ms: int, ahead_ms: int) -> Column:
     """Events may be up to `ahead_ms` ahead of now, and of any age."""
-    return event_ms - now_ms <= ahead_ms
+    return event_ms <= now_ms + ahead_ms
 
 
 def register_keys(regs: str | Column) -> Column:

@@ -17,9 +17,9 @@ def plan(catalog: DataFrame, small: int = SMALL_RUN, least: int = MIN_RUNS) -> D
     return found.agg(F.count("*").alias("files"), names.alias("names")).where(F.col("files") > least)
 
 
-def merge(rows: DataFrame) -> DataFrame:
-    """Rows of several runs without repeats of (did, timestamp): the row of the oldest run stays, then the oldest row."""
-    return first_wins(rows, ["did", "timestamp"], ["run_created_at", "created_at"])
+def merge(rows: DataFrame, arrival: tuple[str, ...] | list[str] = ("created_at",)) -> DataFrame:
+    """Rows of several runs without repeats of (did, timestamp): the row of the oldest run stays, then the first by `arrival`."""
+    return first_wins(rows, ["did", "timestamp"], ["run_created_at", *arrival])
 
 
 def reshard(rows: DataFrame, width: int = SHARD_NS) -> DataFrame:

@@ -34,12 +34,12 @@ def _to(did: int, timestamp: int) -> Column:
 
 
 def starting_at(rows: DataFrame, did: int, timestamp: int) -> DataFrame:
-    """Keys from (did, timestamp) on, itself included. The plain bound on did lets the scan skip row groups."""
-    return rows.where((F.col("did") >= did) & _from(did, timestamp))
+    """Keys from (did, timestamp) on, itself included, in order. The plain bound on did lets the scan skip row groups."""
+    return ordered_scan(rows.where((F.col("did") >= did) & _from(did, timestamp)))
 
 
 def between(rows: DataFrame, low: tuple[int, int], high: tuple[int, int]) -> DataFrame:
     """Keys from low to high, both included, in order of (did, timestamp)."""
     if low > high:
         raise ValueError(f"the range from {low} to {high} is empty")
-    return rows.where(F.col("did").between(low[0], high[0]) & _from(*low) & _to(*high))
+    return ordered_scan(rows.where(F.col("did").between(low[0], high[0]) & _from(*low) & _to(*high)))

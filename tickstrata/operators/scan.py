@@ -14,23 +14,25 @@ def shard_of(timestamp: int, width: int = SHARD_NS) -> int:
     return abs(timestamp) // width * (1 if timestamp >= 0 else -1)
 
 
-def device_scan(rows: DataFrame, did: int, start: int, end: int, granularity: str = "exact") -> DataFrame:
+def device_scan(rows: DataFrame, did: int, start: int, end: int, granularity: str = "exact", width: int = SHARD_NS) -> DataFrame:
     """Rows of one device. "exact": start <= timestamp <= end; "shard": every row of the shards from start's to end's.
 
     The shard predicate is given beside the one on time, as only it can prune partitions.
     """
     if granularity not in ("exact", "shard"):
         raise ValueError(f"granularity is {granularity!r}")
-    found = rows.where(F.col("shard_id").between(shard_of(start), shard_of(end)) & (F.col("did") == did))
+    found = rows.where(F.col("shard_id").between(shard_of(start, width), shard_of(end, width)) & (F.col("did") == did))
     return found.where(F.col("timestamp").between(start, end)) if granularity == "exact" else found
 
 
 def sweep(rows: DataFrame, windows: DataFrame, granularity: str = "exact") -> DataFrame:
     """Rows of `windows` (window_id, did, start, end) joined to the device rows in them.
 
-    Each window is spread over its shards, so the join is an equality on (did, shard_id), not a range.
+    Each window is spread over its shards, so the join is an equality on (did, shard_id), not a range. As in
+    device_scan(), a window that ends before it starts, but in the same shard, has all rows of that shard in mode "shard".
     """
-    spread = windows.withColumn("shard_id", F.explode(F.sequence(shard_id("start"), shard_id("end")))).where("start <= end")
+    first, last = shard_id("start"), shard_id("end")
+    spread = windows.withColumn("shard_id", F.explode(F.when(first <= last, F.sequence(first, last))))
     joined = spread.join(rows, ["did", "shard_id"])
     return joined.where(F.col("timestamp").between(F.col("start"), F.col("end"))) if granularity == "exact" else joined
 

@@ -88,18 +88,18 @@ def read_response(spark, sf_dir):
     return answer.select(F.array_join(F.col("timestamp").cast("array<string>"), ";").alias("timestamp"), F.array_join("data", ";").alias("data"))
 
 
-WINDOWS = 5
+WINDOWS = 53  # of seven days, back from NOW_MS
 
 
 @query(
     f"""SELECT w AS window_id, did, count(*) AS n, min(timestamp) AS first, max(timestamp) AS last FROM tel, range({WINDOWS}) r(w)
-    WHERE timestamp BETWEEN {START} - w * {SHARD_NS} AND {END} - w * {SHARD_NS} GROUP BY w, did"""
+    WHERE timestamp BETWEEN {NOW_MS}000000 - (w + 1) * {SHARD_NS} AND {NOW_MS}000000 - w * {SHARD_NS} GROUP BY w, did"""
 )
 def weekly_sweep(spark, sf_dir):
     rows = telemetry(spark, sf_dir)
-    windows = rows.select("did").distinct().join(spark.range(WINDOWS).withColumnRenamed("id", "window_id"))
-    shift = F.col("window_id") * SHARD_NS
-    windows = windows.select("window_id", "did", (F.lit(START) - shift).alias("start"), (F.lit(END) - shift).alias("end"))
+    windows = rows.select("did").distinct().withColumn("window_id", F.explode(F.sequence(F.lit(0), F.lit(WINDOWS - 1)).cast("array<bigint>")))
+    end = F.lit(NOW_MS * 1_000_000) - F.col("window_id") * SHARD_NS
+    windows = windows.select("window_id", "did", (end - SHARD_NS).alias("start"), end.alias("end"))
     return scan.sweep(rows, windows).groupBy("window_id", "did").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
 
 
@@ -131,9 +131,85 @@ def run_bounds(spark, sf_dir):
     return summary.bounds(_store(spark, sf_dir).rows(), ["run_created_at", "shard_id"])
 
 
-@query()
+@query("SELECT created_at % 3 AS run_created_at, count(*) AS rows, count(DISTINCT shard_id) AS shards, true AS sized FROM tel GROUP BY ALL")
 def store_size(spark, sf_dir):
-    return _store(spark, sf_dir).catalog().agg(F.sum(F.col("size") / 1024).alias("kib"), F.count("*").alias("files"))
+    """Rows and shards of each run by the log; its bytes are the codec's business, so only that they are there."""
+    store = _store(spark, sf_dir)
+    found = store.catalog().groupBy("run_created_at")
+    sized = (F.min("size") > 0) & (F.sum("size") < store.size())
+    return found.agg(F.sum("rows").alias("rows"), F.countDistinct("shard_id").alias("shards"), sized.alias("sized"))
+
+
+@query(
+    """SELECT created_at % 3 AS run_created_at, shard_id, min(did) AS min_did, max(did) AS max_did, min(timestamp) AS min_time, max(timestamp) AS max_time FROM tel GROUP BY ALL"""
+)
+def store_catalog(spark, sf_dir):
+    bounds = [f(c).alias(c) for f, c in ((F.min, "min_did"), (F.max, "max_did"), (F.min, "min_time"), (F.max, "max_time"))]
+    return _store(spark, sf_dir).catalog().groupBy("run_created_at", "shard_id").agg(*bounds)
+
+
+@query("SELECT shard_id, count(*) AS n, count(DISTINCT did) AS devices, max(timestamp) AS last FROM tel WHERE timestamp >= 1704888000000000000 GROUP BY shard_id")
+def store_sql(spark, sf_dir):
+    name = f"telemetry_{uuid.uuid4().hex}"
+    _store(spark, sf_dir).view(name)
+    return spark.sql(f"SELECT shard_id, count(*) AS n, count(DISTINCT did) AS devices, max(timestamp) AS last FROM {name} WHERE timestamp >= {START} GROUP BY shard_id")
+
+
+OVERLAP = "o AS (SELECT did, timestamp, shard_id, min(created_at % 3) AS run FROM (SELECT * FROM tel UNION ALL SELECT * REPLACE (created_at + 1 AS created_at) FROM tel WHERE created_at % 2 = 0) GROUP BY ALL)"
+
+
+@query(f"WITH {TEL}, {OVERLAP} SELECT did, timestamp, run AS run_created_at, shard_id FROM o")
+def store_compact(spark, sf_dir):
+    """Runs that overlap, compacted: of each (did, timestamp) the row of the oldest run is left."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    rows = telemetry(spark, sf_dir).drop("key", "shard_id")
+    rows = rows.unionByName(rows.where("created_at % 2 = 0").withColumn("created_at", F.col("created_at") + 1))
+    for k in range(3):
+        store.append(rows.where(F.col("created_at") % 3 == k), created_at=k)
+    store.compact(least=1)
+    return store.rows().select("did", "timestamp", "run_created_at", "shard_id")
+
+
+STONES = f"did % 5 = 0 AND timestamp BETWEEN {START} AND {END} AND created_at <= 8000"
+
+
+@query(f"SELECT did, timestamp, created_at FROM tel WHERE NOT ({STONES})")
+def store_remove(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    devices = telemetry(spark, sf_dir).where("did % 5 = 0").select("did").distinct()
+    store.remove(devices.select("did", F.lit(START).alias("start"), F.lit(END).alias("end"), F.lit(8000).alias("created")))
+    return store.rows().select("did", "timestamp", "created_at")
+
+
+@query(f"SELECT timestamp // (4 * {SHARD_NS}) AS shard_id, count(*) AS n, min(timestamp) AS first, max(timestamp) AS last FROM tel GROUP BY ALL")
+def store_reshard(spark, sf_dir):
+    wide = _store(spark, sf_dir).reshard(f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", 4 * SHARD_NS)
+    return wide.rows().groupBy("shard_id").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
+# Of a device, the run with the smaller stamp registers first, and in a run the row that came first.
+KNOWN = """known AS (SELECT did, CASE WHEN arg_min(created_at, (created_at % 3) * 1000000000 + created_at) % 2 = 0 THEN '1,2' ELSE '2,1' END AS key FROM tel GROUP BY did)"""
+
+
+def _named_store(spark: SparkSession, sf_dir: str) -> Store:
+    """A store that was given the register lists of its devices, too."""
+    store, rows = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"), _full(spark, sf_dir).drop("shard_id")
+    for k in range(3):
+        store.append(rows.where(F.col("created_at") % 3 == k), created_at=k)
+    return store
+
+
+@query(f"WITH {TEL}, {KNOWN} SELECT did, key FROM known")
+def store_registry(spark, sf_dir):
+    return _named_store(spark, sf_dir).registry().withColumn("key", F.concat_ws(",", F.col("key").cast("array<string>")))
+
+
+@query(
+    f"""WITH {TEL}, {KNOWN} SELECT did, timestamp, CASE WHEN key = '1,2' THEN p ELSE 3 - p END AS register, CASE WHEN p = 1 THEN k ELSE created_at END AS reading
+    FROM tel JOIN known USING (did), (VALUES (1), (2)) t(p) WHERE did = {DID} AND timestamp BETWEEN {START} AND {END}"""
+)
+def store_decode(spark, sf_dir):
+    return _named_store(spark, sf_dir).scan(DID, START, END, named=True)
 
 
 NAMES = f"""names AS (SELECT {SHARD_NS} || '_' || shard_id || '_' || created_at || '_' || kind AS name
@@ -235,8 +311,7 @@ def ordered_scan(spark, sf_dir):
 @query("SELECT did, timestamp, created_at FROM tel WHERE (did, timestamp) IN (SELECT (did, timestamp) FROM tel WHERE created_at = 100)")
 def map_get(spark, sf_dir):
     rows = _map(spark, sf_dir)
-    key = rows.where("created_at = 100").first()
-    return ordered.get(rows, key["did"], key["timestamp"]) if key else rows.limit(0)
+    return ordered.contains(rows, rows.where("created_at = 100")).select("did", "timestamp", "created_at")
 
 
 @query(f"WITH {TEL}, {KEYED} SELECT did, timestamp FROM keyed")
@@ -324,7 +399,10 @@ def ingest_size(spark, sf_dir):
     return summary.ingest_size(telemetry(spark, sf_dir), ["shard_id"])
 
 
-@query("SELECT did, timestamp, length('{\"1\":' || k || ',\"2\":' || created_at || '}') AS json_bytes, 20 AS fixed_bytes FROM tel")
+VARINT = lambda x: f"CAST(greatest(1, ceil(length(bin({x})) / 7.0)) AS INT)"
+
+
+@query(f"SELECT did, timestamp, length('{{\"1\":' || k || ',\"2\":' || created_at || '}}') AS json_bytes, 20 AS fixed_bytes, 4 + {VARINT('k')} + {VARINT('created_at')} AS packed_bytes FROM tel")
 def payload_size(spark, sf_dir):
     return summary.payload_sizes(telemetry(spark, sf_dir))
 
@@ -379,10 +457,18 @@ def device_summary(spark, sf_dir):
     return summary.bounds(telemetry(spark, sf_dir), ["did"])
 
 
+@query(
+    """SELECT did, min(timestamp) AS start, max(timestamp) AS "end", CAST(sum(k) AS BIGINT) AS size, count(*) * 25 AS first_index_size,
+    CAST(coalesce(sum(sum(k)) OVER (ORDER BY did ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", 0 AS flag FROM tel GROUP BY did"""
+)
+def device_index(spark, sf_dir):
+    return summary.device_index(telemetry(spark, sf_dir), F.get("value", F.lit(0)))
+
+
 @query("SELECT shard_id, did, timestamp, k, CAST(coalesce(sum(k) OVER (PARTITION BY shard_id ORDER BY did, timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM tel")
 def running_offset(spark, sf_dir):
     rows = telemetry(spark, sf_dir).select("shard_id", "did", "timestamp", F.get("value", F.lit(0)).alias("k"))
-    return summary.running_offset(rows, "k", ["shard_id"], ["did", "timestamp"])
+    return summary.running_offset(rows, "k", ["shard_id"], ["did", "timestamp"], [F.col("did"), F.call_function("div", "timestamp", F.lit(3_600_000_000_000))])
 
 
 # extensions

@@ -28,11 +28,13 @@ def local_session(cores: str = "8", app: str = "tickstrata", **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset (tests on one machine) a folder of our own is set for the session.
+    Where it is unset, a session on one machine gets a folder of our own; on a cluster that would be a disk that executors can't see.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tickstrata-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         sc.setCheckpointDir(found)

@@ -18,7 +18,7 @@ from tickstrata.model import DATA_MESSAGE, FUTURE_MS, SOURCE_BODY
 
 @dataclass(frozen=True)
 class Ingested:
-    rows: DataFrame  # did, timestamp, created_at, key, value
+    rows: DataFrame  # did, timestamp, created_at, key, value, offset (the order of arrival within a time)
     quarantine: DataFrame  # did, body, reason
 
 
@@ -45,14 +45,14 @@ def pivot(rows: DataFrame, regs: str) -> DataFrame:
 
 
 def ingest(messages: DataFrame, now_ms: int, created_at: int | None = None, ahead_ms: int = FUTURE_MS) -> Ingested:
-    """created_at: nanoseconds stamped on the rows; by default the source's own time."""
+    """created_at: nanoseconds stamped on the rows; by default the source's own time. Times that nanoseconds cannot hold go to quarantine."""
     parsed = parse(messages)
-    stamp = F.lit(created_at).cast("long") if created_at is not None else F.col("created_at_ms") * 1_000_000
+    stamp = F.lit(created_at).cast("long") if created_at is not None else F.try_multiply(F.col("created_at_ms"), F.lit(1_000_000).cast("long"))
     rows = pivot(data_messages(parsed, now_ms, ahead_ms), "m.data.regs")
     time = F.try_multiply(F.col("event_ms"), F.lit(1_000_000).cast("long"))
-    rows = rows.select("did", time.alias("timestamp"), stamp.alias("created_at"), "key", "value", "body")
+    rows = rows.select("did", time.alias("timestamp"), stamp.alias("created_at"), "key", "value", "offset", "body")
     whole = F.forall("key", lambda k: k.isNotNull()) & F.forall("value", lambda v: v.isNotNull())
-    good = F.coalesce(whole & in_domain("did", "timestamp"), F.lit(False))
+    good = F.coalesce(whole & in_domain("did", "timestamp") & F.col("created_at").isNotNull(), F.lit(False))
     reason = F.when(~whole, "register pair").otherwise("identifier or time out of range")
     broken = parsed.where("m IS NULL OR m._corrupt IS NOT NULL").select("did", "body", F.lit("body").alias("reason"))
     refused = rows.where(~good).select("did", "body", reason.alias("reason"))
