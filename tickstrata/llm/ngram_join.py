@@ -265,18 +265,15 @@ def _candidates(found: DataFrame) -> DataFrame:
 
 
 def _loaded(n: int):
-    """member, node, set of the documents whose set is still the node that they stand for."""
+    """node, n, set of the documents whose set is still the node that they stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = []
-            for node, members, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                x = shingles(text, n)
-                if node_of(x) == node:
-                    rows += [(m["c"], m["i"], m["j"], node, len(x), x.tobytes()) for m in members]
-            cols = list(zip(*rows)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["c", "i", "j", "node", "n", "set"])
+            sets = [(node, shingles(text, n)) for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            rows = [(node, len(x), x.tobytes()) for node, x in sets if node_of(x) == node]
+            cols = list(zip(*rows)) or [[]] * 3
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["node", "n", "set"])
 
     return run
 
@@ -344,31 +341,33 @@ def _member(i, j):
 
 
 class _Linker:
-    """Finds the links in tries of nodes, from the texts."""
+    """Finds the links in tries of nodes; the sets of all nodes that go to tries are made from the texts once."""
 
-    def __init__(self, texts: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> None:
-        self.texts, self.nodes, self.n, self.num, self.den = texts, nodes, n, num, den
+    def __init__(self, texts: DataFrame, nodes: DataFrame, candidates: DataFrame, n: int, num: int, den: int) -> None:
+        self.num, self.den = num, den
         self.parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        groups = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
+        wanted = durable(groups.join(nodes, "node").select("node", F.col("root").alias("c"), "n_shingles", "place"), "ngram-wanted")
+        self.grouped = wanted.drop("place")
+        wanted = wanted.select("node", "place.*").alias("w")
+        own = texts.alias("t").join(wanted, [F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("t.text_hash") == F.col("w.text_hash")])
+        self.sets = durable(own.select("node", "text").mapInArrow(_loaded(n), "node long, n long, set binary"), "ngram-wanted-sets")
 
     def links(self, tries: DataFrame) -> DataFrame:
         """Edges (a, b) from node, members: the tries (c, i, j) that a node goes to."""
-        wanted = self.nodes.join(tries, "node").select("node", "members", "place.*").alias("w")
-        own = self.texts.alias("t").join(wanted, [F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("t.text_hash") == F.col("w.text_hash")])
-        loaded = own.select("node", "members", "text").mapInArrow(_loaded(self.n), "c long, i long, j long, node long, n long, set binary")
+        loaded = self.sets.join(tries, "node").select(F.explode("members").alias("m"), "node", "n", "set").select("m.*", "node", "n", "set")
         loaded = loaded.repartition(self.parts, "c", "i", "j").sortWithinPartitions("c", "i", "j", "n", "node")
         return durable(loaded.mapInArrow(_joined(self.num, self.den), "a long, b long"), "ngram-links")
 
 
-def _all_links(linker: _Linker, candidates: DataFrame, block: int) -> DataFrame:
-    """Edges (a, b) that have the components of all links, from the candidate groups (node, root).
+def _all_links(linker: _Linker, block: int) -> DataFrame:
+    """Edges (a, b) that have the components of all links.
 
     A group of one block has one trie. Of a larger one each block has a trie; then a few members of each component that is
-    known so far are dealt to blocks anew, in turns, until that joins no more of them. What is in the largest component
+    known so far are dealt to blocks anew, in turns, as long as that joins a good part of them. What is in the largest component
     by then needs no comparison within it: only the nodes outside it meet all others, block by block.
     """
-    grouped = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
-    grouped = grouped.join(linker.nodes.select("node", "n_shingles"), "node").select("node", F.col("root").alias("c"), "n_shingles")
-    grouped = durable(_blocked(grouped, block, 0), "ngram-groups")
+    grouped = durable(_blocked(linker.grouped, block, 0), "ngram-groups")
     one = lambda blocked: blocked.select("node", F.array(_member(F.col("b"), F.col("b"))).alias("members"))
     found = linker.links(one(grouped))
     large = grouped.where("blocks > 1").select("node", "c", "n_shingles")
@@ -379,7 +378,7 @@ def _all_links(linker: _Linker, candidates: DataFrame, block: int) -> DataFrame:
         roots = large.join(components(found), "node", "left").select(*large.columns, F.coalesce("root", "node").alias("root"))
         roots = durable(roots, "ngram-roots")
         last, state = state, roots.select(F.countDistinct("c", "root")).first()[0]
-        if state == last:
+        if last is not None and state > 0.8 * last:
             break
         turn += 1
         order = Window.partitionBy("c", "root").orderBy(F.xxhash64("node", F.lit(turn)), "node")
@@ -411,7 +410,7 @@ def classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block: int
     place = F.min(F.struct("doc_id", "text_hash"))  # any one of its documents
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), place.alias("place"), F.min("doc_id").alias("low"))
     nodes = durable(nodes, "ngram-nodes")
-    links = components(_all_links(_Linker(texts, nodes, n, num, den), candidates, block))
+    links = components(_all_links(_Linker(texts, nodes, candidates, n, num, den), block))
     roots = nodes.join(links, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     least = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     by_node = roots.join(least, "root").select("node", "component_id")
