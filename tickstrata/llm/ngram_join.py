@@ -349,7 +349,8 @@ class _Linker:
         groups = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
         wanted = durable(groups.join(nodes, "node").select("node", F.col("root").alias("c"), "n_shingles", "place"), "ngram-wanted")
         self.grouped = wanted.drop("place")
-        wanted = wanted.select("node", "place.*").alias("w")
+        # the nodes grow with the documents, so they are never broadcast, however small a table is
+        wanted = wanted.select("node", "place.*").hint("merge").alias("w")
         own = texts.alias("t").join(wanted, [F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("t.text_hash") == F.col("w.text_hash")])
         self.sets = durable(own.select("node", "text").mapInArrow(_loaded(n), "node long, n long, set binary"), "ngram-wanted-sets")
 
