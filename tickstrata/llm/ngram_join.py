@@ -42,6 +42,7 @@ from tickstrata.session import durable
 U = np.uint64
 BLOCK = 1 << 17  # n-grams in a block of a large group
 MEMBERS = 4  # of a component, to look for links to others of its group
+WORDS = 100_000  # whose hashes a worker keeps
 FEW = 4  # nodes that may share a digest before it counts as common
 
 
@@ -55,7 +56,7 @@ class _Words(dict):
     """Hashes of words; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
