@@ -41,9 +41,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write `df` to the shared folder and read it back: its lineage ends there, and executors may be lost."""
+    """Write `df` to the shared folder and read it back: its lineage ends there, and executors may be lost.
+
+    The shuffle files of what made it aren't needed again, so they go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._working_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that durable() gave, once everything that reads them has been written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._working_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
