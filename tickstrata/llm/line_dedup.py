@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickstrata.session import durable
+from tickstrata.session import discard, durable
 
 LONG = 50  # words of a run of lines that goes wherever its edges are
 WORD = r"[^\x20\x09-\x0D]+"
@@ -105,11 +105,14 @@ def removals(docs: DataFrame) -> DataFrame:
     chunk = lambda at: F.struct(at.alias("at"), F.array_join(F.slice(_held("_lines"), _start(at) + 1, _lines_of(at)), "\n").alias("chunk"))
     own = own.select("doc_id", "text_hash", F.explode_outer(F.transform("ats", chunk)).alias("c")).where("c IS NOT NULL")
     own = durable(own.select(F.struct("doc_id", "text_hash", "c.at").alias("place"), "c.chunk"), "line-candidates")
+    discard(narrow)
     firsts = own.groupBy("chunk", F.xxhash64("chunk").alias("hash")).agg(F.min("place").alias("first")).drop("hash")
     both = own.join(firsts, "chunk")
     one = F.col("place.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place.text_hash") == F.col("first.text_hash"))
     gone = both.where(~one | (_start(F.col("place.at")) >= _start(F.col("first.at")) + _lines_of(F.col("first.at")))).select("place.*")
-    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("gone"))
+    gone = durable(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("gone")), "line-gone")
+    discard(own)
+    return gone
 
 
 def clean(docs: DataFrame, whole: float | None = None) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickstrata.llm.batches import slices
-from tickstrata.session import durable
+from tickstrata.session import discard, durable
 
 U = np.uint64
 BLOCK = 1 << 17  # n-grams in a block of a large group
@@ -238,7 +238,7 @@ def _sets(n: int, num: int, den: int):
 
 
 def _candidates(found: DataFrame) -> DataFrame:
-    """Edges (a, b) of the candidate graph, from node, band, margin, signatures.
+    """Edges (a, b) of the candidate graph, written, from node, band, margin, signatures.
 
     Linked sets share at least `margin` digests of a band. Digests of at most FEW nodes are counted for each pair of
     these; with as many common digests as both of a pair have, it has to reach the margin. A common digest (often that of
@@ -262,7 +262,9 @@ def _candidates(found: DataFrame) -> DataFrame:
     kept = common.join(held, ["node", "band"]).where("held >= margin").select("node", "signature")
     least = kept.groupBy("signature", more).agg(F.min("node").alias("b")).drop("h")
     star = kept.join(least, "signature").where("node <> b").select(F.col("node").alias("a"), "b")
-    return rare.unionByName(star)
+    edges = durable(rare.unionByName(star), "ngram-edges")
+    discard(shared, held)
+    return edges
 
 
 def _loaded(n: int):
@@ -323,7 +325,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a", F.xxhash64("a").alias("h")).agg(F.min("b").alias("m")).drop("h")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = durable(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
+        made = durable(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
+        discard(edges)
+        edges = made
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -407,12 +411,16 @@ def classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block: int
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     schema = "doc_id long, text_hash long, n_shingles long, node long, schemes array<struct<band:int,margin:int,signatures:array<long>>>"
     sets = durable(texts.mapInArrow(_sets(n, num, den), schema), "ngram-sets")
-    rows = sets.drop("schemes")
-    candidates = components(_candidates(sets.select("node", F.inline("schemes"))))
+    edges = _candidates(sets.select("node", F.inline("schemes")))
+    rows = durable(sets.drop("schemes"), "ngram-rows")
+    candidates = components(edges)
+    discard(sets, edges)
     place = F.min(F.struct("doc_id", "text_hash"))  # any one of its documents
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), place.alias("place"), F.min("doc_id").alias("low"))
     nodes = durable(nodes, "ngram-nodes")
-    links = components(_all_links(_Linker(texts, nodes, candidates, n, num, den), block))
+    linker = _Linker(texts, nodes, candidates, n, num, den)
+    links = components(_all_links(linker, block))
+    discard(linker.sets)
     roots = nodes.join(links, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     least = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     by_node = roots.join(least, "root").select("node", "component_id")
