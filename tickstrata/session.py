@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that only finished queries made: Spark deletes them when the driver's JVM has collected those queries."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
