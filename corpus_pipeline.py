@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickstrata.llm import line_dedup, mixing, ngram_join, packing, quality
-from tickstrata.session import durable, shared_dir
+from tickstrata.session import durable, release, shared_dir
 
 COPY = 0.2  # share of a text in repeated lines from which on the document is judged as a whole
 
@@ -44,6 +44,7 @@ def _recounted(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays; of what those still share, repeated runs of lines go."""
+    release(spark)
     kept = durable(ngram_join.one_of_each(docs, n=5, num=8, den=10), "near-kept")
     return _recounted(line_dedup.clean(kept), docs)
 

@@ -413,8 +413,9 @@ def classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block: int
     sets = durable(texts.mapInArrow(_sets(n, num, den), schema), "ngram-sets")
     edges = _candidates(sets.select("node", F.inline("schemes")))
     rows = durable(sets.drop("schemes"), "ngram-rows")
+    discard(sets)
     candidates = components(edges)
-    discard(sets, edges)
+    discard(edges)
     place = F.min(F.struct("doc_id", "text_hash"))  # any one of its documents
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), place.alias("place"), F.min("doc_id").alias("low"))
     nodes = durable(nodes, "ngram-nodes")
@@ -422,7 +423,8 @@ def classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block: int
     links = components(_all_links(linker, block))
     discard(linker.sets)
     roots = nodes.join(links, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    least = roots.groupBy("root").agg(F.min("low").alias("component_id"))
+    # grouped by more than the root: the join then deals both sides itself, and can split a large component
+    least = roots.groupBy("root", F.xxhash64("root").alias("h")).agg(F.min("low").alias("component_id")).drop("h")
     by_node = roots.join(least, "root").select("node", "component_id")
     alone = rows.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return rows.where("n_shingles > 0").join(by_node, "node").select("doc_id", "text_hash", "n_shingles", "component_id").unionByName(alone)
