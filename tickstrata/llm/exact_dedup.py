@@ -19,13 +19,16 @@ from __future__ import annotations
 import hashlib
 import os
 import pickle
+import string
 import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickstrata.llm.repeats import counted, dealt
+
 FAN = 16  # spill files of one partitioning step: four bits of the hash each
 BITS = 60
 
@@ -172,10 +175,9 @@ def _combine_bucket(budget: int):
     return run
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sums = [hashlib.sha256(_normal(t.as_py())).hexdigest() for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.string())], names=["doc_id", "text_sha256"])
+def normal_digest(text: Column) -> Column:
+    """The digest of the normalised text."""
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256)
 
 
 def groups(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
@@ -188,10 +190,7 @@ def groups(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
 
 def mark(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
     """For each row of `docs` (doc_id, text, ...): doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests, "doc_id long, text_sha256 string")
-    # dealt anew by doc_id: the window must not tie the join to its keys, so that a very large group can be split there
-    joined = rows.join(groups(docs, budget), "text_sha256").repartition("doc_id")
-    again = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("keep_id"))
-    return joined.select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (again == 1)).alias("kept"), "text_sha256"
-    )
+    # rows that repeat both are counted, so that no window has to gather them; dealt out before the join, which can split a very large group
+    rows = dealt(counted(docs.select(F.col("doc_id").cast("long"), normal_digest(F.col("text")).alias("text_sha256")), "exact-rows"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("k") == 0)
+    return rows.join(groups(docs, budget), "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
