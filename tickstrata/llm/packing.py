@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickstrata.llm.batches import slices
+from tickstrata.llm.repeats import counted, dealt
 from tickstrata.session import durable
 
 SIZE = 2048
@@ -296,8 +297,9 @@ def pack(cut: DataFrame, size: int = SIZE, per_block: int = 4096, islands: int =
     """`cut` (the columns of pieces()) with sequence_id and offset."""
     cut = durable(cut, "pieces")
     blocks = -(-cut.count() // per_block) or 1
-    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks))
-    cut = cut.withColumn("block", block)
+    # repeated rows are counted and numbered, so that they go to different blocks
+    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "k"), F.lit(blocks))
+    cut = durable(dealt(counted(cut, "piece-counts")).withColumn("block", block).drop("k"), "piece-blocks")
     each = cut.select("*", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
     genomes = cut.sparkSession.createDataFrame([], "block long, island int, fitness double, genome binary")
     for turn in range(rounds):
