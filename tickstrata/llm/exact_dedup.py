@@ -176,8 +176,10 @@ def _combine_bucket(budget: int):
 
 
 def normal_digest(text: Column) -> Column:
-    """The digest of the normalised text."""
-    return F.sha2(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256)
+    """The digest of the normalised text; of plain ASCII, lower() is the same and several times cheaper."""
+    text = F.coalesce(text, F.lit(""))
+    other = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.sha2(F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(other), 256)
 
 
 def groups(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
