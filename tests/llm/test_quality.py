@@ -72,3 +72,26 @@ def test_query_fits_the_test_tables(spark):
     clean = [r.kept for r in rows if r.quality == 1 and r.toxic == 0]
     bad = [r.kept for r in rows if r.quality == 0 or r.toxic == 1]
     assert np.mean(clean) > 0.97 and np.mean(bad) < 0.1
+
+
+def test_the_fit_is_at_the_optimum():
+    """No step of a weight or a threshold lowers the penalised loss, worked out plainly, by more than a trifle."""
+    rng, lasso = np.random.default_rng(5), 1e-3
+    x = rng.random((300, 8)) < 0.4
+    score = x @ np.array([2.0, -2.0, 1.0, 0, 0, 0, 0.5, -0.5]) + rng.logistic(size=300)
+    grades = (score > -0.5).astype(int) + (score > 1)
+    model = Q.fit([np.flatnonzero(r) for r in x], grades, lasso=lasso, turns=1500)
+
+    def loss(w, cuts):
+        tails = [np.ones(300), *(1 / (1 + np.exp(c - x @ w)) for c in cuts), np.zeros(300)]
+        p = np.array([tails[g][i] - tails[g + 1][i] for i, g in enumerate(grades)])
+        return -np.log(p).mean() + lasso * np.abs(w).sum()
+
+    w, cuts = model.weights[:8], model.thresholds
+    best = loss(w, cuts)
+    assert best < loss(np.zeros(8), cuts) - 0.1
+    for step in (0.05, -0.05, 0.3, -0.3):
+        for k in range(8):
+            assert loss(w + step * (np.arange(8) == k), cuts) > best - 1e-4
+        for k in range(2):
+            assert loss(w, cuts + step * (np.arange(2) == k)) > best - 1e-4

@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tickstrata.llm import queries
 from tickstrata.llm import sharding as S
 
@@ -66,3 +68,30 @@ def test_query(spark, sf_dir):
     count = check(rows, 40)
     assert max(count.values()) - min(count.values()) <= 1
     assert all(r.law == "rows" and r.grown_shard is None for r in rows)
+
+
+def test_places_match_a_walk_of_single_rows(spark):
+    rows = [(k, f"text {k % 7}") for k in range(600)] + [(5, f"other {k}") for k in range(300)] + [(6, "same")] * 200 + [(None, None)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tick = F.shiftrightunsigned(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_crc32"))), 64 - S.TICK_BITS)
+    cell = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(S.CELLS))
+    for shards, slack in ((7, None), (7, 0.2)):
+        placed = S.assign(df, shards, 8, slack)
+        own = placed.select("doc_id", "size", "text_crc32", tick.alias("tick"), cell.alias("cell"))
+        queues = {}
+        for r in sorted(own.collect(), key=lambda r: (r.cell, r.doc_id is not None, r.doc_id or 0, r.text_crc32)):
+            queues.setdefault(r.tick, []).append(tuple(r)[:3])
+        nodes, free, taken = S.ring(shards, 8), S.bounds(len(rows), shards, slack), [0] * shards
+        at = {t: next((k for k, (p, _) in enumerate(nodes) if p >= t), 0) for t in queues}
+        want = []
+        while queues:
+            for t in sorted(queues):
+                while not free[nodes[at[t]][1]]:
+                    at[t] = (at[t] + 1) % len(nodes)
+                shard = nodes[at[t]][1]
+                while queues[t] and free[shard]:
+                    want.append((*queues[t].pop(0), shard, taken[shard]))
+                    free[shard] -= 1
+                    taken[shard] += 1
+            queues = {t: q for t, q in queues.items() if q}
+        assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in placed.collect())

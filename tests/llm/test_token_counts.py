@@ -46,3 +46,13 @@ def test_counts_come_from_the_cache(spark, tmp_path):
 
 def test_empty_table(spark):
     assert T.count_tokens(frame(spark, []), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_query_counts_the_whole_table(spark, sf_dir):
+    from tickstrata.llm import queries
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = [(d, len(t.encode()), len(model.encode(t)), len(model.encode(t)) > 4096) for d, t in texts]
+    got = queries.op2_token_counts(spark, sf_dir).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
