@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -77,3 +78,20 @@ def test_resample_repeats_whole_rows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mix(df).count() == 0 and M.resample(df).count() == 0
+
+
+def test_rows_of_one_id_are_ranked_in_parts(spark):
+    """One doc_id, source and size class: copies as of a plain walk in the stated order, and no task with all rows."""
+    rows = [(None, f"w{i} x y", "hot") for i in range(3000)] + [(5, "a b c", "hot")] * 500 + [(i, "a b c", "hot") for i in range(40)] + [(i, "a b", "other") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = M.ranked(docs).collect()
+    assert sum(r.n for r in found) == len(rows) and len(found) == len(set(rows))
+    hot = sorted((r.before, r.n) for r in found if r.source_key == "0hot")
+    assert [b for b, _ in hot] == [sum(n for _, n in hot[:k]) for k in range(len(hot))]
+    order = [r.doc_id for r in sorted(found, key=lambda r: r.before) if r.source_key == "0hot"]
+    key = lambda d: hashlib.md5(b"" if d is None else str(d).encode()).hexdigest()
+    assert order == sorted(order, key=key)
+    assert len({r.text_hash >> M.PART for r in found if r.doc_id is None}) > 200
+    taken = [r.copies for r in M.sample(docs).collect() if r.source_key == "0hot"]
+    rate = next(r.rate for r in found if r.source_key == "0hot")
+    assert len(taken) == 3540 and abs(sum(taken) - rate * 3540) <= 1 and set(taken) <= {int(rate), int(rate) + 1}

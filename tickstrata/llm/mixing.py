@@ -7,8 +7,9 @@ order goes by size class first, so the sample is spread evenly over short and lo
 words taken come near the target.
 
 The running sum is the document's rank times the source's rate, so only ranks are needed. A rank is
-the rank within a small cell (source, size class, hash bucket) plus the count of the cells before
-it: no task sorts a whole source, even if one source holds most rows.
+the rank within a part of a small cell (source, size class, hash bucket; a part is a doc_id's rows by the
+first bits of their texts' hashes) plus the counts of the parts and cells before it, and rows that are the
+same are counted: no task sorts a whole source or all rows of one doc_id, even if it holds most rows.
 
 Defined cases: a null text or one without words has size 0 and takes no words; null is a source of
 its own, after all others; a source without words has target 0; repeated rows count each; further
@@ -20,12 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickstrata.session import durable
+from tickstrata.llm.repeats import counted, dealt
+from tickstrata.session import discard, durable
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times a source's size, and copies of a document
 KEY = ["source_key", "size_class", "bucket"]
+PART = 56  # bits of a text's hash after those that give its part
 
 
 def word_count(text: Column) -> Column:
@@ -64,24 +67,46 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
 
 
-def sample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, text_hash, size, source_key, source_size, target, copies: one row for each row of `docs` (doc_id, text, source)."""
+def ranked(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """doc_id, text_hash, size, source_key, source_size, target, rate, offset, n, before: the distinct rows of `docs` (doc_id, text, source), written.
+
+    n: how often a row stands in `docs`; before: the rows of its source that stand before it.
+    """
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), source_key(F.col("source")).alias("source_key"), word_count(F.col("text")).alias("size")
+    rows = counted(
+        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), source_key(F.col("source")).alias("source_key"), word_count(F.col("text")).alias("size")),
+        "mixing-rows",
     )
-    sizes = durable(sizes, "mixing-sizes").select("*", size_class().alias("size_class"), order.alias("place"))
-    sizes = sizes.withColumn("bucket", F.substring("place", 1, 2))
-    cells = sizes.groupBy(*KEY).agg(F.count("*").alias("rows"))
-    before = Window.partitionBy("source_key").orderBy("size_class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*KEY, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy(*KEY).orderBy("place", "doc_id", "text_hash"))
-    ranked = sizes.withColumn("within", within).join(cells, KEY).join(targets(sizes, weights, most), "source_key")
+    rows = rows.select("*", size_class().alias("size_class"), order.alias("place"), F.shiftright("text_hash", PART).alias("part"))
+    rows = rows.withColumn("bucket", F.substring("place", 1, 2))
+    running = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda of, by, order: F.coalesce(F.sum(of).over(running.partitionBy(*by).orderBy(*order)), F.lit(0))
+    sums = rows.groupBy(*KEY, "place", "part").agg(F.sum("n").alias("rows"), F.sum(F.col("size") * F.col("n")).alias("words"))
+    sums = durable(sums, "mixing-sums")
+    cells = sums.groupBy(*KEY).agg(F.sum("rows").alias("rows")).select(*KEY, ahead("rows", ["source_key"], ["size_class", "bucket"]).alias("cell_before"))
+    by_source = targets(sums.select("source_key", F.col("words").alias("size")), weights, most)
+    parts = sums.select(*KEY, "place", "part", ahead("rows", KEY, ["place", "part"]).alias("part_before"))
+    parts = parts.join(cells.join(by_source, "source_key"), KEY)
+    rows = rows.select("*", ahead("n", [*KEY, "place", "part"], ["doc_id", "text_hash", "size"]).alias("within"))
+    rows = rows.join(parts, [*KEY, "place", "part"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = F.conv(F.substring(F.md5("source_key"), 1, 5), 16, 10).cast("double") / (1 << 20)
-    ranked = ranked.select("*", (F.col("before") + F.col("within")).alias("rank"), rate.alias("rate"), offset.alias("offset"))
-    copies = F.expr("CAST(floor(rank * rate + offset) - floor((rank - 1) * rate + offset) AS LONG)")
-    return ranked.select("doc_id", "text_hash", "size", "source_key", "source_size", "target", copies.alias("copies"))
+    before = F.col("cell_before") + F.col("part_before") + F.col("within")
+    columns = ("doc_id", "text_hash", "size", "source_key", "source_size", "target", rate.alias("rate"), offset.alias("offset"), "n", before.alias("before"))
+    found = durable(rows.select(*columns), "mixing-ranks")
+    discard(sums)
+    return found
+
+
+def crossed(first: str, last: str) -> Column:
+    """Whole numbers that the running sum crosses from before the rank `first` + 1 to the rank `last`."""
+    return F.expr(f"CAST(floor(({last}) * rate + offset) - floor(({first}) * rate + offset) AS LONG)")
+
+
+def sample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """doc_id, text_hash, size, source_key, source_size, target, copies: one row for each row of `docs` (doc_id, text, source)."""
+    rows = dealt(ranked(docs, weights, most))
+    return rows.select("doc_id", "text_hash", "size", "source_key", "source_size", "target", crossed("before + k", "before + k + 1").alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -94,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """`docs` with each row as often as the mix takes it."""
     key = ["doc_id", "text_hash", "source_key"]
-    copies = sample(docs, weights, most).groupBy(*key).agg(F.sum("copies").alias("copies_taken")).where("copies_taken > 0")
+    copies = ranked(docs, weights, most).select(*key, crossed("before", "before + n").alias("copies_taken")).where("copies_taken > 0")
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), source_key(F.col("source")).alias("source_key"))
     rows = rows.groupBy(*key).agg(F.first("row").alias("row"))
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key]
