@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+from collections import Counter
+
+import regex
 
 from tickstrata.llm import pii, queries
 
@@ -109,3 +112,56 @@ def test_many_unseen_values_and_patterns_of_found_ones(spark):
     rows = check(spark, texts)
     assert all(rows[i]["n_added"] == 1 for i in range(40, 109))
     assert all(rows[i]["n_added"] == 0 for i in (*range(40), *range(109, len(texts))))
+
+
+def scored(edges, turns, support, confidence):
+    """{(row, start, end, kind): score} of what discover() adds, by walking the graph's edges one by one."""
+    pairs = {}
+    for e in edges:
+        known = pairs.setdefault((e.pattern, e.value), e.seed)
+        pairs[e.pattern, e.value] = e.seed if known is None else known if e.seed is None else max(known, e.seed)
+    kind_of = lambda v: next((k for k, name in enumerate(pii.KINDS) if regex.search(pii.SHAPES[name], v)), None)
+    filled, scores = Counter(p for p, _ in pairs), {}
+    for _ in range(turns):
+        good, unknown, held = Counter(), Counter(), Counter()
+        for (p, v), seed in pairs.items():
+            kind = kind_of(v) if seed is None else seed
+            if kind is None:
+                continue
+            score = 1.0 if seed is not None else scores[v][1] if v in scores and scores[v][0] == kind else None
+            unknown[p, kind] += score is None
+            good[p, kind] += score or 0.0
+            held[p, kind] += score is not None and score >= confidence
+        sure = {pk: good[pk] / (filled[pk[0]] - unknown[pk]) for pk in held if held[pk] >= support}
+        sure = {pk: c for pk, c in sure.items() if c >= confidence}
+        wrong = {}
+        for (p, v), seed in pairs.items():
+            if seed is None and (p, kind_of(v)) in sure:
+                wrong[v] = wrong.get(v, 1.0) * max(1e-9, 1 - sure[p, kind_of(v)])
+        scores = {v: (kind_of(v), 1 - w) for v, w in wrong.items()}
+    return {(e.row, e.start, e.end, scores[e.value][0]): scores[e.value][1] for e in edges if e.seed is None and e.value in scores and scores[e.value][1] >= confidence}
+
+
+def test_scores_match_a_walk_of_the_graph(spark):
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    forms = [lambda: f"+1 ({digits(3)}) 555-{digits(4)}", lambda: f"555-{digits(3)}-{digits(4)}", lambda: f"({digits(3)}) 555-{digits(4)}", lambda: f"u{digits(3)}@mail.example", lambda: f"jo{digits(2)} at host dot org", lambda: f"10.0.{rng.randint(0, 255)}.{rng.randint(0, 255)}", lambda: f"10.0.{rng.randint(256, 999)}.7", lambda: f"eur{digits(2)}", lambda: "4111 1111 1111 1111"]
+    pure = [[k in group for k in range(len(forms))] for group in ((0, 1), (0, 2), (1, 2), (3, 4))]
+    mixes = pure + [[rng.random() ** 4 for _ in forms] for _ in range(8)]
+    contexts = [("call", "now"), ("reach me at", "today"), ("write to", "please"), ("host", "down"), ("costs", "now"), ("sales desk:", "for orders"), ("card", "valid"), ("", "here"), ("ring", ""), ("mail", "or"), ("node", "up"), ("fax", "then")]
+    texts = []
+    for _ in range(900):
+        k = rng.randrange(len(contexts))
+        parts = [f"{contexts[k][0]} {f()} {contexts[k][1]}" for f in rng.choices(forms, mixes[k], k=rng.choice([1, 1, 2]))]
+        texts.append(" and so ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scanned = pii.durable(pii.scan(docs), "test-scan")
+    edges = pii._edges(scanned).collect()
+    sizes = []
+    for turns, support, confidence in ((1, 5, 0.9), (3, 5, 0.9), (3, 2, 0.6), (4, 1, 0.3)):
+        want = scored(edges, turns, support, confidence)
+        got = {(r.row, r.start, r.end, r.kind): r.score for r in pii.discover(scanned, turns, support, confidence).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
+        sizes.append(len(got))
+    assert 0 < sizes[1] < sizes[2] <= sizes[3] and sizes[0] <= sizes[1], sizes
