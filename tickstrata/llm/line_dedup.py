@@ -121,7 +121,8 @@ def clean(docs: DataFrame, whole: float | None = None) -> DataFrame:
     whole: documents that would lose this share of their characters or more are copies as a whole, and stay as they are.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    df = rows.alias("r").join(removals(docs).alias("g"), _same("r", "g"), "left").select("row", "gone", F.split("row.text", "\n").alias("_lines"))
+    # what goes grows with the documents, so it is never broadcast, however small a table is
+    df = rows.alias("r").join(removals(docs).hint("merge").alias("g"), _same("r", "g"), "left").select("row", "gone", F.split("row.text", "\n").alias("_lines"))
     out = F.array_distinct(F.flatten(F.transform("gone", lambda at: F.sequence(_start(at), _start(at) + _lines_of(at) - 1))))
     df = df.select("row", "_lines", out.alias("out"))
     stays = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("out"))
