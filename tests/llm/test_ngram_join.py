@@ -142,3 +142,24 @@ def test_a_group_of_many_blocks_is_not_compared_block_by_block(spark, monkeypatc
     got = N.classes(spark.createDataFrame(rows, "doc_id long, text string"), block=3000).collect()  # 20 blocks
     assert len(got) == 600 and {r.component_id for r in got} == {0}
     assert went[0] == 600 and sum(went) < 1000, went
+
+
+def test_a_passage_that_many_share_makes_no_large_group(spark, monkeypatch):
+    """Two thirds of each text are the same passage, which links none of them; only the few near copies go to tries."""
+    rng, went = random.Random(10), []
+    words = lambda count: [f"w{rng.randrange(10**6)}" for _ in range(count)]
+    passage = words(100)
+    texts = [passage + words(45) for _ in range(180)]
+    texts += [t[:-1] + words(1) for t in texts[:20]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    links = N._Linker.links
+
+    def counted(self, tries):
+        went.append(tries.selectExpr("sum(size(members)) AS n").first().n or 0)
+        return links(self, tries)
+
+    monkeypatch.setattr(N._Linker, "links", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in N.classes(df, 5, 8, 10, block=3000).collect())
+    assert got == brute(rows, 5, 8, 10)
+    assert sum(went) == 40, went

@@ -12,8 +12,11 @@ size can have differences, plus a margin. Linked sets then agree on some whole s
 share a segment's digest are joined to the smallest of them (but for common digests that a set can do without), the connected groups of this candidate
 graph are found with distributed star contraction, and each group goes to a trie. Segments that are empty
 on both sides need no digest: the margin leaves more segments with n-grams than differences; a set
-for which that does not hold emits digests for its empty segments, too. A group of more n-grams than
-a block holds is cut into blocks by hash, each with a trie of its own. Few members of what that has joined are dealt
+for which that does not hold emits digests for its empty segments, too. A passage that very many documents
+share chains them into one group, linked or not, and such groups grow with the corpus. So a group of more n-grams than
+a block holds is grouped anew by the ends of its sets in an order of rarity (see _by_rarity), which leaves those
+together that are nearly all passage. What is still larger than a block
+is cut into blocks by hash, each with a trie of its own. Few members of what that has joined are dealt
 to tries anew until nothing more is joined; then only the nodes outside the group's largest component meet all
 the others, block by block. So a large group of near copies takes about a trie for each block; the work is quadratic
 only in what stays outside the largest component.
@@ -314,6 +317,45 @@ def _joined(num: int, den: int):
     return run
 
 
+def _grams(num: int, den: int):
+    """node, n, band, gram for each n-gram of a set."""
+    names = ["node", "n", "band", "gram"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = Bands(num, den).low
+        for b in slices(batches):
+            for node, n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                gram = np.frombuffer(data.as_py(), np.int64)
+                same = [np.full(n, node, np.int64), np.full(n, n, np.int64), np.full(n, bisect_right(low, n) - 1, np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*same, gram)], names=names)
+
+    return run
+
+
+def _by_rarity(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) from node, n, set: a graph whose components hold all links, without those that only a passage makes.
+
+    Prefix filter: in one order of all n-grams, the rarest first, a set of n without its last ceil(s * n) - 1 n-grams is its head.
+    Linked sets share an n-gram that is in the head of the smaller one at s = 2 * num / (num + den), and in that of the larger one
+    at s = num / den. An n-gram that only one set has comes first and needs no row, as places are counted from the end.
+    Heads meet by n-gram and size band of the smaller set.
+    """
+    grams = sets.select("node", "n", "set").mapInArrow(_grams(num, den), "node long, n long, band int, gram long")
+    grams = durable(grams, "ngram-grams")
+    # grouped by more than the n-gram: the join then deals both sides itself, and can split an n-gram that many sets share
+    often = grams.groupBy("gram", F.xxhash64("gram").alias("h")).agg(F.count("*").alias("often")).where("often > 1").drop("h")
+    last = Window.partitionBy("node").orderBy(F.desc("often"), "gram")
+    head = grams.join(often, "gram").withColumn("k", F.row_number().over(last)).where(F.col("k") * den >= F.col("n") * num)
+    small = F.col("k") * (num + den) >= F.col("n") * (2 * num)
+    keys = F.array(F.struct("band", small.alias("small")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("small")))
+    keys = durable(head.select("node", "gram", F.explode(keys).alias("key")).select("node", "gram", "key.*"), "ngram-heads")
+    met = keys.groupBy("gram", "band", F.xxhash64("gram").alias("h")).agg(F.min("node").alias("b"), F.max("node").alias("most"), F.max("small").alias("small"))
+    met = met.where("small AND b < most").select("gram", "band", "b")
+    edges = durable(keys.join(met, ["gram", "band"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "ngram-head-edges")
+    discard(grams, keys)
+    return edges
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of the nodes of `edges` (a, b) but for the roots: star contraction."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -359,6 +401,12 @@ class _Linker:
         own = texts.alias("t").join(wanted, [F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("t.text_hash") == F.col("w.text_hash")])
         self.sets = durable(own.select("node", "text").mapInArrow(_loaded(n), "node long, n long, set binary"), "ngram-wanted-sets")
 
+    def regrouped(self, large: DataFrame) -> DataFrame:
+        """node, c, n_shingles: smaller groups for those of `large` (node, c, n_shingles), without nodes that no other can be linked with."""
+        found = components(_by_rarity(self.sets.join(large.select("node"), "node"), self.num, self.den))
+        found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+        return large.drop("c").join(found, "node").select("node", F.col("root").alias("c"), "n_shingles")
+
     def links(self, tries: DataFrame) -> DataFrame:
         """Edges (a, b) from node, members: the tries (c, i, j) that a node goes to."""
         loaded = self.sets.join(tries, "node").select(F.explode("members").alias("m"), "node", "n", "set").select("m.*", "node", "n", "set")
@@ -369,11 +417,15 @@ class _Linker:
 def _all_links(linker: _Linker, block: int) -> DataFrame:
     """Edges (a, b) that have the components of all links.
 
-    A group of one block has one trie. Of a larger one each block has a trie; then a few members of each component that is
+    A group of one block has one trie. Larger ones are grouped anew by their rare n-grams. Of one that is still larger each block has a trie; then a few members of each component that is
     known so far are dealt to blocks anew, in turns, as long as that joins a good part of them. What is in the largest component
     by then needs no comparison within it: only the nodes outside it meet all others, block by block.
     """
     grouped = durable(_blocked(linker.grouped, block, 0), "ngram-groups")
+    large = grouped.where("blocks > 1").select("node", "c", "n_shingles")
+    if not large.isEmpty():
+        grouped = grouped.where("blocks = 1").unionByName(_blocked(linker.regrouped(large), block, 0).select(*grouped.columns))
+        grouped = durable(grouped, "ngram-groups")
     one = lambda blocked: blocked.select("node", F.array(_member(F.col("b"), F.col("b"))).alias("members"))
     found = linker.links(one(grouped))
     large = grouped.where("blocks > 1").select("node", "c", "n_shingles")
