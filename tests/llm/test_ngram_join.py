@@ -163,3 +163,21 @@ def test_a_passage_that_many_share_makes_no_large_group(spark, monkeypatch):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in N.classes(df, 5, 8, 10, block=3000).collect())
     assert got == brute(rows, 5, 8, 10)
     assert sum(went) == 40, went
+
+
+def test_components_take_few_turns_and_broadcast_nothing(spark, monkeypatch, tmp_path):
+    """Stars are done after one turn, a path of 60 after a few; the driver gets no broadcast of nodes, however few they are."""
+    plans, durable = [], N.durable
+
+    def kept(df, name="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df, name)
+
+    monkeypatch.setattr(N, "durable", kept)
+    for name, rows, most in (("stars", [(k, k % 3) for k in range(3, 50)], 1), ("path", [(k, k + 1) for k in range(60)] + [(7, 7), (1, 0)], 6)):
+        plans.clear()
+        spark.createDataFrame(rows, "a long, b long").write.parquet(f"{tmp_path}/{name}")
+        got = sorted((r.node, r.root) for r in N.components(spark.read.parquet(f"{tmp_path}/{name}")).collect())
+        assert got == ([(k, k % 3) for k in range(3, 50)] if name == "stars" else [(k, 0) for k in range(1, 61)])
+        assert len(plans) <= most, (name, len(plans))
+        assert not any("Broadcast" in p for p in plans)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickstrata.llm.batches import slices
-from tickstrata.session import discard, durable
+from tickstrata.session import discard, durable, release
 
 U = np.uint64
 BLOCK = 1 << 17  # n-grams in a block of a large group
@@ -357,23 +357,29 @@ def _by_rarity(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component) of the nodes of `edges` (a, b) but for the roots: star contraction."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, last = durable(edges, "edges"), None
+    """node, root (the smallest node of its component) of the nodes of `edges` (a, b; written) but for the roots: star contraction.
+
+    A turn is one written query and one count, and nothing in it is broadcast, as the driver keeps something of each job and each broadcast
+    until its garbage is collected; what earlier queries left there goes first.
+    """
+    release(edges.sparkSession)
+    edges, made = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # grouped by more than the node: the joins then deal both sides themselves, and can split a node with very many edges
         least = both.groupBy("a", F.xxhash64("a").alias("h")).agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a", F.xxhash64("a").alias("h")).agg(F.min("b").alias("m")).drop("h")
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        made = durable(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
-        discard(edges)
+        small = large.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last, made = made, durable(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
+        if last is not None:
+            discard(last)
         edges = made
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last:
+        # done when each node has one edge down and none of those has edges up: nothing moves any more
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+        ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        if not ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1 AND down > 0").agg(F.count("*")).first()[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        last = state
 
 
 def _blocked(nodes: DataFrame, block: int, seed: int) -> DataFrame:
@@ -433,7 +439,9 @@ def _all_links(linker: _Linker, block: int) -> DataFrame:
         return found
     state, turn = None, 0
     while True:
-        roots = large.join(components(found), "node", "left").select(*large.columns, F.coalesce("root", "node").alias("root"))
+        known = components(found)
+        found = known.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = large.join(known, "node", "left").select(*large.columns, F.coalesce("root", "node").alias("root"))
         roots = durable(roots, "ngram-roots")
         last, state = state, roots.select(F.countDistinct("c", "root")).first()[0]
         if last is not None and state > 0.8 * last:
