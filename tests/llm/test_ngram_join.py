@@ -181,3 +181,19 @@ def test_components_take_few_turns_and_broadcast_nothing(spark, monkeypatch, tmp
         assert got == ([(k, k % 3) for k in range(3, 50)] if name == "stars" else [(k, 0) for k in range(1, 61)])
         assert len(plans) <= most, (name, len(plans))
         assert not any("Broadcast" in p for p in plans)
+
+
+def test_digests_are_joined_in_parts(spark, monkeypatch):
+    """The join of the digests is written in parts, none of which has most of the rows; together they lose no link."""
+    rows, sizes, durable = corpus(random.Random(11), 200), [], N.durable
+
+    def kept(df, name="table"):
+        out = durable(df, name)
+        if name == "ngram-shared":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "durable", kept)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows, 3, 9, 10)
+    assert len(sizes) == N.PASSES and max(sizes) < 0.6 * sum(sizes), sizes

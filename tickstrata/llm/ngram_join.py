@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ U = np.uint64
 BLOCK = 1 << 17  # n-grams in a block of a large group
 MEMBERS = 4  # of a component, to look for links to others of its group
 WORDS = 100_000  # whose hashes a worker keeps
+PASSES = 2  # over the digests, each with a part of them: shuffle files of one part are there at a time
 FEW = 4  # nodes that may share a digest before it counts as common
 
 
@@ -251,8 +253,12 @@ def _candidates(found: DataFrame) -> DataFrame:
     rows = found.select("node", "band", "margin", F.explode("signatures").alias("signature"))
     # grouped by more than the digest: the joins then deal both sides themselves, and can split a digest that many nodes share
     more = F.col("signature").bitwiseAND(1).alias("h")
-    again = rows.groupBy("signature", more).agg(F.count("*").alias("n")).where("n > 1").drop("h")
-    shared = durable(rows.join(again, "signature"), "ngram-shared")
+    parts = []
+    for k in range(PASSES):
+        some = rows.where(F.shiftright("signature", 1) % PASSES == k)
+        again = some.groupBy("signature", more).agg(F.count("*").alias("n")).where("n > 1").drop("h")
+        parts.append(durable(some.join(again, "signature"), "ngram-shared"))
+    shared = reduce(DataFrame.unionByName, parts)
     common = shared.where(F.col("n") > FEW).select("node", "band", "margin", "signature")
     held = durable(common.groupBy("node", "band").agg(F.countDistinct("signature").alias("held")), "ngram-common")
     few = shared.where(F.col("n") <= FEW).join(held, ["node", "band"], "left").na.fill(0, ["held"])
@@ -266,7 +272,7 @@ def _candidates(found: DataFrame) -> DataFrame:
     least = kept.groupBy("signature", more).agg(F.min("node").alias("b")).drop("h")
     star = kept.join(least, "signature").where("node <> b").select(F.col("node").alias("a"), "b")
     edges = durable(rare.unionByName(star), "ngram-edges")
-    discard(shared, held)
+    discard(*parts, held)
     return edges
 
 
