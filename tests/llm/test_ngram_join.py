@@ -197,3 +197,30 @@ def test_digests_are_joined_in_parts(spark, monkeypatch):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute(rows, 3, 9, 10)
     assert len(sizes) == N.PASSES and max(sizes) < 0.6 * sum(sizes), sizes
+
+
+@pytest.mark.parametrize("most", [0, 40, N.EDGES])
+def test_components_of_a_small_graph_take_one_task(spark, monkeypatch, tmp_path, most):
+    """A graph of at most EDGES edges is written once, without a shuffle; a larger one is contracted, to its end or until it is small. The components are the same."""
+    rng, plans, durable = random.Random(12), [], N.durable
+
+    def kept(df, name="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df, name)
+
+    monkeypatch.setattr(N, "durable", kept)
+    monkeypatch.setattr(N, "EDGES", most)
+    path = [(k, k + 1) for k in range(60)]
+    rows = [*path, (7, 7), (1, 0), *((k, 1000) for k in range(100, 160)), *((rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)), (-5, -9)]
+    low = {x: x for e in rows for x in e}
+    while any(low[a] != low[b] for a, b in rows):
+        for a, b in rows:
+            low[a] = low[b] = min(low[a], low[b])
+    for name, some in (("none", []), ("path", path), ("all", rows)):
+        plans.clear()
+        spark.createDataFrame(some, "a long, b long").write.parquet(f"{tmp_path}/{name}")
+        got = sorted((r.node, r.root) for r in N.components(spark.read.parquet(f"{tmp_path}/{name}")).collect())
+        nodes = {x for e in some for x in e}
+        assert got == sorted((x, r) for x, r in low.items() if x in nodes and x != r)
+        shuffled = ["Exchange" in p for p in plans]
+        assert shuffled == [False] if len(some) <= most else shuffled[0], (name, shuffled)

@@ -49,6 +49,7 @@ MEMBERS = 4  # of a component, to look for links to others of its group
 WORDS = 100_000  # whose hashes a worker keeps
 PASSES = 2  # over the digests, each with a part of them: shuffle files of one part are there at a time
 FEW = 4  # nodes that may share a digest before it counts as common
+EDGES = 1 << 18  # of a graph whose components one task finds
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -362,15 +363,33 @@ def _by_rarity(sets: DataFrame, num: int, den: int) -> DataFrame:
     return edges
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b (the smallest node of its component) of all nodes but those, from all edges (a, b) of a graph.
+
+    Each turn hooks roots to the smallest one beside them; within two turns a root is hooked or has others hooked to it, so the turns are few.
+    """
+    cols = [np.zeros((2, 0), np.int64), *(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches)]
+    nodes, ends = np.unique(np.concatenate(cols, axis=1), return_inverse=True)
+    root, ends = np.arange(len(nodes)), ends.reshape(2, -1)
+    while len((ends := root[ends][:, root[ends[0]] != root[ends[1]]])[0]):
+        np.minimum.at(root, ends.max(axis=0), ends.min(axis=0))
+        while ((up := root[root]) != root).any():
+            root = up
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of the nodes of `edges` (a, b; written) but for the roots: star contraction.
 
     A turn is one written query and one count, and nothing in it is broadcast, as the driver keeps something of each job and each broadcast
-    until its garbage is collected; what earlier queries left there goes first.
+    until its garbage is collected; what earlier queries left there goes first. A turn has ten stages, whatever it moves, so a graph of at most
+    EDGES edges, from the start or after some turns, goes to one task instead.
     """
     release(edges.sparkSession)
+    left = edges.count()
     edges, made = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), None
-    while True:
+    while left > EDGES:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # grouped by more than the node: the joins then deal both sides themselves, and can split a node with very many edges
         least = both.groupBy("a", F.xxhash64("a").alias("h")).agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -384,8 +403,14 @@ def components(edges: DataFrame) -> DataFrame:
         # done when each node has one edge down and none of those has edges up: nothing moves any more
         ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
         ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
-        if not ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1 AND down > 0").agg(F.count("*")).first()[0]:
+        ends = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        left, moves = ends.agg(F.sum("down"), F.count_if(F.expr("down + up > 1 AND down > 0"))).first()
+        if not moves:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = durable(edges.coalesce(1).mapInArrow(_forest, "a long, b long"), "edges")
+    if made is not None:
+        discard(made)
+    return found.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _blocked(nodes: DataFrame, block: int, seed: int) -> DataFrame:
